@@ -1,6 +1,9 @@
 """Registered queries over the driver tables, each with its SQL twin where one exists."""
 
-from clueweave.plans import graph_plans  # noqa: F401  (importing registers the queries)
+from clueweave.plans import (  # noqa: F401  (importing registers the queries)
+    graph_plans,
+    search_plans,
+)
 from clueweave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
