@@ -3,6 +3,7 @@
 from clueweave.plans import (  # noqa: F401  (importing registers the queries)
     graph_plans,
     search_plans,
+    text_plans,
 )
 from clueweave.plans.registry import ORACLES, QUERIES
 

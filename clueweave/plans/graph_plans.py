@@ -12,6 +12,7 @@ from clueweave.operators import stems as S
 from clueweave.plans import sqlparts as P
 from clueweave.plans import standins as V
 from clueweave.plans.registry import query
+from clueweave.session import written
 
 #: words of the fixed association query; they occur in all sizes of the driver data
 ASKED = ["THE", "THING", "IDIOT", "PATHETIC", "NICHT", "QUE", "NOSUCHWORD"]
@@ -166,7 +167,8 @@ def graph_combine_max(spark, folder):
          WHERE w >= 100000000000 GROUP BY src, dst""",
 )
 def graph_two_hop(spark, folder):
-    return G.two_hop(V.graph_v1(V.chat_text(spark, folder)), "micro", G.MICRO)
+    graph = written(V.graph_v1(V.chat_text(spark, folder)), "graph")
+    return G.two_hop(graph, "micro", G.MICRO)
 
 
 @query(

@@ -13,7 +13,7 @@ from clueweave.functions import text as T
 from clueweave.operators import bags as B
 from clueweave.operators import graph as G
 from clueweave.operators import stems as S
-from clueweave.session import spread
+from clueweave.session import spread, written
 
 HEAD, ENTRY = 2, 8
 
@@ -75,7 +75,11 @@ def _entries(toks: Column) -> Column:
 
 def clean_bags(source: DataFrame) -> DataFrame:
     """``(category, src_id, win, words, defs)`` with both sides present."""
-    rows = token_rows(source).select("category", "src_id", F.inline(_entries(F.col("toks"))))
+    return bags_of(token_rows(source))
+
+
+def bags_of(tokens: DataFrame) -> DataFrame:
+    rows = tokens.select("category", "src_id", F.inline(_entries(F.col("toks"))))
     return B.non_empty(rows)
 
 
@@ -96,10 +100,19 @@ def stems(source: DataFrame) -> DataFrame:
     return S.derive_stems(vocabulary(source))
 
 
-def stemmed_bags(source: DataFrame) -> DataFrame:
-    """Clean bags with ``words_stem`` and ``defs_stem``."""
+def stemmed_bags(source: DataFrame, keep: str = "true") -> DataFrame:
+    """Clean bags (those for which ``keep`` holds) with ``words_stem`` and ``defs_stem``.
+
+    The token table feeds both the vocabulary and the bags, so it is written once instead
+    of normalising every text twice.
+    """
+    tokens = written(token_rows(source), "tokens")
+    forms = tokens.select(F.explode("toks").alias("form")).distinct()
     return S.stem_arrays(
-        clean_bags(source), ["category", "src_id", "win"], ["words", "defs"], stems(source)
+        bags_of(tokens).where(keep),
+        ["category", "src_id", "win"],
+        ["words", "defs"],
+        S.derive_stems(forms),
     )
 
 
