@@ -2,6 +2,7 @@
 
 from clueweave.plans import (  # noqa: F401  (importing registers the queries)
     graph_plans,
+    grid_plans,
     ml_plans,
     search_plans,
     text_plans,
