@@ -4,6 +4,7 @@ from clueweave.plans import (  # noqa: F401  (importing registers the queries)
     graph_plans,
     grid_plans,
     ml_plans,
+    page_plans,
     search_plans,
     text_plans,
 )

@@ -32,11 +32,11 @@ starts AS (SELECT cwid, x, y, row_number() OVER (PARTITION BY cwid ORDER BY y, x
            FROM (SELECT DISTINCT cwid, x, y FROM items)),
 isl AS (
   SELECT cwid, x, y, letter, 'East' AS dir, y AS line,
-         x - row_number() OVER (PARTITION BY cwid, y ORDER BY x) AS island, x AS at FROM cells
+         x - row_number() OVER (PARTITION BY cwid, y ORDER BY x) AS island, x AS spot FROM cells
   UNION ALL
   SELECT cwid, x, y, letter, 'South', x,
          y - row_number() OVER (PARTITION BY cwid, x ORDER BY y), y FROM cells),
-found AS (SELECT cwid, min(x) AS x, min(y) AS y, string_agg(letter, '' ORDER BY at) AS word, dir
+found AS (SELECT cwid, min(x) AS x, min(y) AS y, string_agg(letter, '' ORDER BY spot) AS word, dir
           FROM isl GROUP BY cwid, dir, line, island HAVING count(*) >= 2)"""
 
 GRID = P.with_(ITEMS, LETTERS)
