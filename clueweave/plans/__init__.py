@@ -6,6 +6,7 @@ from clueweave.plans import (  # noqa: F401  (importing registers the queries)
     ml_plans,
     page_plans,
     search_plans,
+    taxonomy_plans,
     text_plans,
 )
 from clueweave.plans.registry import ORACLES, QUERIES

@@ -135,6 +135,7 @@ def incremental_new_pages(spark, folder):
 #: how page markup is turned into wiki markup, in this order (pattern, replacement)
 TO_WIKI = (
     ("\n", " "),
+    (". ", ".\n#: "),
     ("<nav>", "\n==English==\n===Synonyms==="),
     ('<li><a href="', "\n* [["),
     ("</a></li>", "]]"),
@@ -258,20 +259,15 @@ def wiki_reference_clean(spark, folder):
     return links.withColumn("term", W.clean_reference(F.col("link")))
 
 
-def _sql(pattern: str) -> str:
-    return pattern.replace("'", "''")
-
-
-RAW = (
-    "trim(regexp_replace(regexp_replace({0}, '" + _sql(W.MACRO) + "', '', 'g'), '" + _sql(W.LINK) + "', '\\1', 'g'))"
-)
+def raw_sql(col: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({col}, '{W.MACRO}', '', 'g'), '{W.LINK}', '\\1', 'g'))"
 
 
 @query(
     "wiki_links_text",
     f"""WITH {wiki_sql()} SELECT page_id,
           regexp_replace(regexp_replace(text, '{W.PLAIN_LINK}', '\\1', 'g'), '{W.LABELLED_LINK}', '\\1', 'g') AS shown,
-          {RAW.format('text')} AS raw FROM wiki""",
+          {raw_sql('text')} AS raw FROM wiki""",
 )
 def wiki_links_text(spark, folder):
     text = F.col("text")
@@ -282,13 +278,13 @@ def wiki_links_text(spark, folder):
 
 TEXTS = f"""english AS (SELECT * FROM rows_ WHERE language = 'English'),
 definitions AS (
-  SELECT page_id, word, lang_no, sec_no, line_no, {RAW.format("regexp_replace(line, '^#+', '')")} AS text
+  SELECT page_id, word, lang_no, sec_no, line_no, {raw_sql("regexp_replace(line, '^#+', '')")} AS text
   FROM english WHERE {SECTION_CLASS['category']} AND regexp_matches(line, '{W.DEFINITION_LINE}')
   UNION ALL
   SELECT page_id, word, lang_no, sec_no, line_no, trim(regexp_extract(line, '{W.TRANSLATION}', 1))
   FROM english WHERE regexp_matches(line, '{W.TRANSLATION}')),
 examples AS (
-  SELECT page_id, word, lang_no, sec_no, line_no, {RAW.format("regexp_replace(line, '^[#:*]+', '')")} AS text
+  SELECT page_id, word, lang_no, sec_no, line_no, {raw_sql("regexp_replace(line, '^[#:*]+', '')")} AS text
   FROM english WHERE {SECTION_CLASS['category']} AND regexp_matches(line, '{W.EXAMPLE_LINE}'))"""
 
 TERMS = f"""links AS (
