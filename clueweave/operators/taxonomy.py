@@ -88,24 +88,36 @@ def depth(paths: DataFrame) -> DataFrame:
     )
 
 
-def lowest_common(pairs: DataFrame, up: DataFrame) -> DataFrame:
-    """``(a, b, lca, da, db)``: common ancestor with the smallest total distance, then id.
+def common_ancestor(rows: DataFrame, up: DataFrame) -> DataFrame:
+    """Add ``lca, da, db`` for columns ``a, b``: the common ancestor nearest to both, then by id.
 
-    ``up`` is the result of :func:`with_self`; pairs without a common ancestor drop out.
+    ``up`` is the result of :func:`with_self`.  The ancestors of one node travel as one
+    array (its length is bounded by the hierarchy above the node), so a pair stays one row
+    and the search happens inside that row.  Without a common ancestor the three are null.
     """
-    left = up.select(F.col("node").alias("a"), "anc", F.col("dist").alias("da"))
-    right = up.select(F.col("node").alias("b"), "anc", F.col("dist").alias("db"))
-    first = salted_join(pairs.select("a", "b").distinct(), left, ["a"], "a", F.col("b"))
-    common = salted_join(first, right, ["b", "anc"], "b", F.col("a"))
-    best = F.min(F.struct((F.col("da") + F.col("db")).alias("total"), "anc", "da", "db"))
-    return common.groupBy("a", "b").agg(best.alias("m")).select(
-        "a", "b", F.col("m.anc").alias("lca"), "m.da", "m.db"
+    lists = up.groupBy("node").agg(F.collect_list(F.struct("anc", "dist")).alias("list"))
+    left = lists.select(F.col("node").alias("a"), F.col("list").alias("up_a"))
+    right = lists.select(F.col("node").alias("b"), F.map_from_entries("list").alias("up_b"))
+    both = salted_join(rows, left, ["a"], "a", F.col("b"), how="left")
+    both = salted_join(both, right, ["b"], "b", F.col("a"), how="left", counted=rows)
+    shared = F.filter(F.col("up_a"), lambda x: F.map_contains_key("up_b", x["anc"]))
+    ranked = F.transform(
+        shared,
+        lambda x: F.struct(
+            (x["dist"] + F.element_at("up_b", x["anc"])).alias("total"),
+            x["anc"].alias("lca"),
+            x["dist"].alias("da"),
+            F.element_at("up_b", x["anc"]).alias("db"),
+        ),
+    )
+    return both.withColumn("best", F.array_min(ranked)).select(
+        *rows.columns, "best.lca", "best.da", "best.db"
     )
 
 
 def senses_with_gloss(senses: DataFrame, glosses: DataFrame) -> DataFrame:
     """Senses with definition and quoted examples taken from ``;``-separated glosses."""
-    parts = F.transform(F.split("gloss", ";"), F.trim)
+    parts = F.transform(F.split("gloss", ";"), lambda part: F.trim(part))
     quoted = F.filter(parts, lambda p: F.startswith(p, F.lit('"')))
     plain = F.filter(parts, lambda p: ~F.startswith(p, F.lit('"')))
     return senses.join(glosses, "node").select(
@@ -146,10 +158,9 @@ def sense_pairs(pairs: DataFrame, senses: DataFrame) -> DataFrame:
 
 def word_similarity(pairs: DataFrame, senses: DataFrame, up: DataFrame) -> DataFrame:
     """Path similarity 1 / (1 + distance) of lemma pairs; 0 without a shared kind or path."""
-    nodes = sense_pairs(pairs, senses)
-    lca = lowest_common(nodes.where("a IS NOT NULL AND b IS NOT NULL"), up)
+    nodes = written(sense_pairs(pairs, senses), "sense-pairs")
     path = 1 / (1 + F.col("da") + F.col("db"))
-    return nodes.join(lca, ["a", "b"], "left").select(
+    return common_ancestor(nodes, up).select(
         "lemma_a", "lemma_b", F.coalesce(path, F.lit(0.0)).alias("similarity")
     )
 

@@ -64,7 +64,7 @@ def node_pairs(spark, folder):
     lines = V.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
     orders = V.table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     both = lines.join(orders, "o_orderkey").select("o_custkey", "l_suppkey").distinct()
-    return both.select(_id("C", "o_custkey").alias("a"), _id("S", "l_suppkey").alias("b"))
+    return written(both.select(_id("C", "o_custkey").alias("a"), _id("S", "l_suppkey").alias("b")), "pairs")
 
 
 def senses(spark, folder):
@@ -129,7 +129,7 @@ def taxonomy_depth(spark, folder):
 
 @query("taxonomy_lca", f"WITH RECURSIVE {TAXONOMY}, {PAIRS} SELECT a, b, lca, da, db FROM lca")
 def taxonomy_lca(spark, folder):
-    return T.lowest_common(node_pairs(spark, folder), ancestors(spark, folder))
+    return T.common_ancestor(node_pairs(spark, folder), ancestors(spark, folder))
 
 
 @query(
@@ -192,7 +192,7 @@ def taxonomy_edge_similarity(spark, folder):
 def taxonomy_wup_lch(spark, folder):
     paths = T.closure(taxonomy(spark, folder))
     up, depths = written(T.with_self(paths), "ancestors"), written(T.depth(paths), "depths")
-    found = T.depth_similarities(T.lowest_common(node_pairs(spark, folder), up), depths)
+    found = T.depth_similarities(T.common_ancestor(node_pairs(spark, folder), up), depths)
     return found.select("a", "b", "lca", F.round("wup", 6).alias("wup"), F.round("lch", 6).alias("lch"))
 
 
@@ -201,7 +201,7 @@ def taxonomy_wup_lch(spark, folder):
     f"""WITH RECURSIVE {TAXONOMY}, {PAIRS},
         counts AS (SELECT 'C' || o_custkey AS node, count(*) AS n FROM orders GROUP BY o_custkey
           UNION ALL SELECT 'S' || l_suppkey, count(*) FROM lineitem GROUP BY l_suppkey),
-        ic AS (SELECT anc AS node, -ln(sum(n) / (SELECT sum(n) FROM counts)) AS ic
+        ic AS (SELECT anc AS node, ln((SELECT sum(n) FROM counts) / sum(n)) AS ic
           FROM up JOIN counts USING (node) GROUP BY anc)
         SELECT l.a, l.b, round(m.ic, 6) AS res, round(2 * m.ic / (x.ic + y.ic), 6) AS lin,
           round(1.0::DOUBLE / (x.ic + y.ic - 2 * m.ic), 6) AS jcn
@@ -215,6 +215,6 @@ def taxonomy_ic(spark, folder):
         return counted.select(_id(prefix, key).alias("node"), "n")
 
     counts = occurrences("orders", "C", "o_custkey").union(occurrences("lineitem", "S", "l_suppkey"))
-    lca = T.lowest_common(node_pairs(spark, folder), up)
+    lca = T.common_ancestor(node_pairs(spark, folder), up)
     found = T.content_similarities(lca, T.information(counts, up))
     return found.select("a", "b", *[F.round(c, 6).alias(c) for c in ("res", "lin", "jcn")])
