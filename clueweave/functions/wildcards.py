@@ -22,8 +22,20 @@ def to_like(pattern: Column) -> Column:
 
 
 def matches(word: Column, pattern: Column) -> Column:
-    """Whole-word match of a pattern that may differ from row to row."""
-    return F.rlike(word, F.concat(F.lit("^"), to_regex(pattern), F.lit("$")))
+    """Whole-word match of a pattern that may differ from row to row.
+
+    Letters with a single ``*`` need no regex: the word starts and ends as the pattern.
+    """
+    tidied = tidy(pattern)
+    head, tail = F.substring_index(tidied, "*", 1), F.substring_index(tidied, "*", -1)
+    one_star = F.length(head) + F.length(tail) == F.length(tidied) - 1
+    ends = (
+        F.startswith(word, head)
+        & F.endswith(word, tail)
+        & (F.length(word) >= F.length(tidied) - 1)
+    )
+    regex = F.rlike(word, F.concat(F.lit("^"), to_regex(pattern), F.lit("$")))
+    return F.when(one_star & ~F.contains(tidied, F.lit("?")), ends).otherwise(regex)
 
 
 def tidy_literal(pattern: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clueweave.functions import text as T
+from clueweave.operators.unnest import each, each_struct
 
 # Category weights in tenths, first and second graph version.
 WEIGHTS_V1 = {"clues": 10, "definitions": 6, "examples": 6, "equivalents": 4, "associated": 1}
@@ -16,21 +17,21 @@ WEIGHTS_V2 = {"clues": 4, "definitions": 5, "examples": 1, "equivalents": 10, "a
 
 def clues(puzzles: DataFrame) -> DataFrame:
     """One ``(word, text)`` row per placed word of ``words: array<struct<word, clue, ..>>``."""
-    return puzzles.select(F.explode("words").alias("w")).select(
+    return each(puzzles, "words", "w").select(
         F.col("w.word").alias("word"), F.col("w.clue").alias("text")
     )
 
 
 def items(entries: DataFrame, field: str) -> DataFrame:
     """One ``(word, text)`` row per element of an array field; absent arrays give none."""
-    return entries.select("word", F.explode(field).alias("text"))
+    return each(entries, field, "text", "word")
 
 
 def associated(entries: DataFrame) -> DataFrame:
     """Associated terms followed by other terms, duplicates kept."""
     none = F.array().cast("array<string>")
     both = F.concat(F.coalesce("associated", none), F.coalesce("other", none))
-    return entries.select("word", F.explode(both).alias("text"))
+    return each(entries, both, "text", "word")
 
 
 def union_bags(bags: dict[str, DataFrame]) -> DataFrame:
@@ -55,12 +56,17 @@ def entry_bags(puzzles: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def clean(bag: DataFrame) -> DataFrame:
-    """``word``/``text`` -> ``words``/``defs`` token arrays; rows with an empty side go."""
-    return non_empty(
-        bag.withColumn("words", T.tokens(T.normalize(F.col("word")))).withColumn(
-            "defs", T.tokens(T.normalize(F.col("text")))
-        )
-    ).drop("word", "text")
+    """``word``/``text`` -> ``words``/``defs`` token arrays; rows with an empty side go.
+
+    The arrays pass through a generator, so the filter reads them instead of repeating
+    the normalisation.
+    """
+    rest = [c for c in bag.columns if c not in ("word", "text")]
+    sides = F.struct(
+        T.tokens(T.normalize(F.col("word"))).alias("words"),
+        T.tokens(T.normalize(F.col("text"))).alias("defs"),
+    )
+    return non_empty(each_struct(bag, F.array(sides), "words", *rest))
 
 
 def non_empty(bag: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clueweave.operators.bags import WEIGHTS_V2, weight_of
 from clueweave.operators.skew import salted_join
+from clueweave.operators.unnest import each_struct
 
 MICRO = 1_000_000
 
@@ -39,7 +40,7 @@ def norm_stem_edges(bags: DataFrame, weights: dict[str, int] = WEIGHTS_V2) -> Da
             ),
         )
     )
-    return bags.select(F.inline(both)).withColumn(
+    return each_struct(bags, both, "src").withColumn(
         "tenths", F.lit(weights["equivalents"]).cast("bigint")
     )
 
@@ -75,7 +76,7 @@ def expression_edges(bags: DataFrame, weights: dict[str, int] = WEIGHTS_V2) -> D
         _cross(defs, expr, weak),
         _cross(expr, defs, weight_of(F.col("category"), weights)),
     )
-    return bags.select(F.inline(families))
+    return each_struct(bags, families, "src")
 
 
 def all_edges_v2(bags: DataFrame, weights: dict[str, int] = WEIGHTS_V2) -> DataFrame:

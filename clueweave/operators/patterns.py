@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clueweave.functions import text as T
 from clueweave.functions import wildcards as P
 from clueweave.operators.search import associate_words, batch_scores, top_k
+from clueweave.operators.unnest import each, each_placed
 
 
 def pattern_search(words: DataFrame, pattern: str, k: int = 20) -> DataFrame:
@@ -103,7 +104,7 @@ def parse_requests(requests: DataFrame) -> DataFrame:
 
     Entries with a place but no pattern are dropped.
     """
-    entries = requests.select("rid", F.posexplode(F.split("request", ";")).alias("ord", "entry"))
+    entries = each_placed(requests, F.split("request", ";"), "ord", "entry", "rid")
     parts = F.split("entry", "-")
     return entries.select(
         "rid",
@@ -129,12 +130,10 @@ def solve(
     listed = plain.join(fitting, "pattern").select("rid", "ord", "pos", "rank", "word")
 
     asked = entries.where("clue <> ''")
-    clue_words = asked.select("qid", F.explode(T.tokens(T.normalize(F.col("clue")))).alias("word"))
-    scored = batch_scores(edges, clue_words, weight)
-    fits = scored.join(asked.select("qid", "rid", "ord", "pos", "pattern"), "qid").where(
-        P.matches(F.col("word"), F.col("pattern"))
-    )
-    ranked = top_k(fits, ["qid"], [F.desc("score"), F.col("word")], k).select(
+    clue_words = each(asked, T.tokens(T.normalize(F.col("clue"))), "word", "qid", "pattern")
+    scored = batch_scores(edges, clue_words, weight, P.matches(F.col("src"), F.col("pattern")))
+    best = top_k(scored, ["qid"], [F.desc("score"), F.col("word")], k)
+    ranked = best.join(asked.select("qid", "rid", "ord", "pos"), "qid").select(
         "rid", "ord", "pos", "rank", "word"
     )
     # at most k words per entry reach these two lists

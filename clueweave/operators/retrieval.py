@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clueweave.operators.search import top_k
+from clueweave.operators.unnest import each
 
 #: similarities are compared at this many decimals, so copies of a text tie exactly
 DECIMALS = 6
@@ -15,7 +16,7 @@ DECIMALS = 6
 def term_counts(docs: DataFrame, tokens: str = "toks") -> DataFrame:
     """``(doc_id, term, n)`` of token arrays, counted before the shuffle."""
     return (
-        docs.select("doc_id", F.explode(tokens).alias("term"))
+        each(docs, tokens, "term", "doc_id")
         .groupBy("doc_id", "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )

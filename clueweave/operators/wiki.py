@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clueweave.operators.unnest import each, each_placed
+
 LANGUAGE = "English"
 MACRO = r"\{\{.*?\}\}"
 LINK = r"\[\[([^\[\]|]+)(?:\|[^\[\]]*)?\]\]"
@@ -26,21 +28,21 @@ def lines(pages: DataFrame) -> DataFrame:
     Level-2 headings open a language, deeper ones a section; a language's own lines form
     section 0.  Blank lines and the heading lines themselves are left out.
     """
-    languages = pages.select(
-        "page_id", "word",
-        F.posexplode(F.split(F.concat(F.lit("\n"), "text"), "\n(?===[^=])")).alias("lang_no", "chunk"),
-    )
-    sections = languages.select(
-        "page_id", "word", "lang_no",
-        F.trim(F.regexp_extract("chunk", "^==([^=]+)==", 1)).alias("language"),
-        F.posexplode(F.split("chunk", "\n(?====)")).alias("sec_no", "part"),
+    by_language = F.split(F.concat(F.lit("\n"), "text"), "\n(?===[^=])")
+    languages = each_placed(pages, by_language, "lang_no", "chunk", "page_id", "word")
+    language = F.trim(F.regexp_extract("chunk", "^==([^=]+)==", 1)).alias("language")
+    keys = ["page_id", "word", "lang_no"]
+    sections = each_placed(
+        languages, F.split("chunk", "\n(?====)"), "sec_no", "part", *keys, language
     )
-    return sections.select(
-        "page_id", "word", "lang_no", "language", "sec_no",
+    heading = [
         F.length(F.regexp_extract("part", "^(=*)", 1)).alias("level"),
         F.trim(F.regexp_extract("part", "^=+([^=]+)=+", 1)).alias("section"),
-        F.posexplode(F.split("part", "\n")).alias("line_no", "line"),
-    ).where("line_no > 0 AND trim(line) <> ''")
+    ]
+    split = each_placed(
+        sections, F.split("part", "\n"), "line_no", "line", *keys, "language", "sec_no", *heading
+    )
+    return split.where("line_no > 0 AND trim(line) <> ''")
 
 
 def letters_only(title: Column) -> Column:
@@ -127,13 +129,14 @@ def references(rows: DataFrame) -> DataFrame:
         .when(is_associated(F.col("section")), "associated")
         .otherwise("other")
     )
-    links = english.select(
-        "page_id", "word", kind.alias("kind"),
-        F.explode(F.regexp_extract_all("line", F.lit(LINK), F.lit(1))).alias("link"),
-    ).select("page_id", "word", "kind", clean_reference(F.col("link")).alias("term"))
-    spellings = english.where(is_category(F.col("section"))).select(
-        "page_id", "word", F.lit("spelling").alias("kind"),
-        F.explode(F.regexp_extract_all("line", F.lit(SPELLING), F.lit(1))).alias("term"),
+    found = F.regexp_extract_all("line", F.lit(LINK), F.lit(1))
+    links = each(english, found, "link", "page_id", "word", kind.alias("kind")).select(
+        "page_id", "word", "kind", clean_reference(F.col("link")).alias("term")
+    )
+    named = F.regexp_extract_all("line", F.lit(SPELLING), F.lit(1))
+    spellings = each(
+        english.where(is_category(F.col("section"))),
+        named, "term", "page_id", "word", F.lit("spelling").alias("kind"),
     )
     return links.unionByName(spellings).where("term <> ''").distinct()
 

@@ -13,6 +13,7 @@ from clueweave.functions import text as T
 from clueweave.operators import bags as B
 from clueweave.operators import graph as G
 from clueweave.operators import stems as S
+from clueweave.operators.unnest import each, each_struct
 from clueweave.session import spread, written
 
 HEAD, ENTRY = 2, 8
@@ -55,16 +56,18 @@ def chat_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_rows(source: DataFrame) -> DataFrame:
-    """``(category, src_id, toks)`` of the non-empty texts."""
-    return source.select(
-        "category", "src_id", T.tokens(T.normalize(F.col("text"))).alias("toks")
-    ).where(F.size("toks") > 0)
+    """``(category, src_id, toks)``; an empty text has an empty list.
+
+    No filter here: Spark would move it below the repartitioning of small inputs and
+    normalise every text twice.  Exploding drops the empty lists anyway.
+    """
+    return source.select("category", "src_id", T.tokens(T.normalize(F.col("text"))).alias("toks"))
 
 
 def _entries(toks: Column) -> Column:
-    last = F.floor((F.size(toks) + ENTRY - 1) / ENTRY) - 1
+    count = F.floor((F.size(toks) + ENTRY - 1) / ENTRY)
     return F.transform(
-        F.sequence(F.lit(0).cast("bigint"), last),
+        F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)),
         lambda w: F.struct(
             w.alias("win"),
             F.slice(toks, (w * ENTRY + 1).cast("int"), F.lit(HEAD)).alias("words"),
@@ -79,8 +82,7 @@ def clean_bags(source: DataFrame) -> DataFrame:
 
 
 def bags_of(tokens: DataFrame) -> DataFrame:
-    rows = tokens.select("category", "src_id", F.inline(_entries(F.col("toks"))))
-    return B.non_empty(rows)
+    return B.non_empty(each_struct(tokens, _entries(F.col("toks")), "win", "category", "src_id"))
 
 
 def edges_v1(source: DataFrame) -> DataFrame:
@@ -93,7 +95,7 @@ def graph_v1(source: DataFrame) -> DataFrame:
 
 
 def vocabulary(source: DataFrame) -> DataFrame:
-    return token_rows(source).select(F.explode("toks").alias("form")).distinct()
+    return each(token_rows(source), "toks", "form").distinct()
 
 
 def stems(source: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def stemmed_bags(source: DataFrame, keep: str = "true") -> DataFrame:
     of normalising every text twice.
     """
     tokens = written(token_rows(source), "tokens")
-    forms = tokens.select(F.explode("toks").alias("form")).distinct()
+    forms = each(tokens, "toks", "form").distinct()
     return S.stem_arrays(
         bags_of(tokens).where(keep),
         ["category", "src_id", "win"],
