@@ -88,12 +88,16 @@ def combine_sum(edges: DataFrame) -> DataFrame:
 
 
 def combine_norm(edges: DataFrame, keep_weak: bool = False) -> DataFrame:
-    """Sum per pair over the largest sum of the source, in millionths; below 0.1 drops.
+    """Sum per pair over the largest sum of the source, in millionths; below 0.1 drops."""
+    return normalise(combine_sum(edges), keep_weak)
+
+
+def normalise(summed: DataFrame, keep_weak: bool = False) -> DataFrame:
+    """Second half of :func:`combine_norm` for pairs that are summed already.
 
     The row maximum is an aggregate joined back, not a window, so a source with very
     many targets is reduced before the shuffle and its rows may sit in several tasks.
     """
-    summed = combine_sum(edges)
     row_max = summed.groupBy("src").agg(F.max("w").alias("m"))
     kept = summed.join(row_max, "src")
     if not keep_weak:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clueweave.functions import text as T
 from clueweave.functions import wildcards as P
 from clueweave.operators.search import associate_words, batch_scores, top_k
+from clueweave.operators.skew import salted_join
 from clueweave.operators.unnest import each, each_placed
 
 
@@ -32,9 +33,10 @@ def _masked(word, shape):
     )
 
 
-def _each_length(words, name):
+def _each_length(words, name, marks=0):
     """Every word once per length up to its own, so "at least n long" is an equi-join."""
-    return words.select("word", F.explode(F.sequence(F.lit(0), F.length("word"))).alias(name))
+    reach = F.sequence(F.lit(0), F.length("word") + marks)
+    return words.select("word", F.explode(reach).alias(name))
 
 
 def match_patterns(words: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -45,8 +47,9 @@ def match_patterns(words: DataFrame, patterns: DataFrame) -> DataFrame:
     word = pattern is then an equi-join that only yields true matches.
 
     With ``*`` the longest literal run of the pattern must occur in the word, so words are
-    joined on their substrings of the lengths in use and the regex checks the rest.
-    Patterns without any letter only bound the length.
+    joined on their substrings of the lengths in use and :func:`wildcards.matches` checks
+    the rest.  Words and patterns carry end marks, so ``*ED`` only meets words that end
+    so.  Patterns without any letter only bound the length.
     """
     distinct = patterns.select(P.tidy(F.col("pattern")).alias("pattern")).where(
         F.col("pattern") != ""
@@ -57,35 +60,30 @@ def match_patterns(words: DataFrame, patterns: DataFrame) -> DataFrame:
         "shape", F.regexp_replace("pattern", "[A-Z]", "x")
     )
     shapes = fixed.select("shape", F.length("shape").alias("len")).distinct()
-    masked = (
-        words.withColumn("len", F.length("word"))
-        .join(shapes, "len")
-        .withColumn("pattern", _masked(F.col("word"), F.col("shape")))
+    # few lengths hold most words, so the lengths are salted
+    sized = words.withColumn("len", F.length("word"))
+    masked = salted_join(sized, shapes, ["len"], "len", F.col("word")).withColumn(
+        "pattern", _masked(F.col("word"), F.col("shape"))
     )
     exact = fixed.select("pattern").join(masked, "pattern").select("pattern", "word")
 
-    runs = F.filter(F.split("pattern", r"[*?]+"), lambda r: r != "")
+    marked = F.concat(F.lit("^"), "pattern", F.lit("$"))
+    runs = F.filter(F.split(marked, r"[*?]+"), lambda r: F.rlike(r, F.lit("[A-Z]")))
     longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))
     starred = distinct.where(F.contains("pattern", F.lit("*"))).withColumn("longest", longest)
     anchored = starred.where(F.col("longest").isNotNull()).select(
         "pattern", F.col("longest.n").alias("n"), F.col("longest.run").alias("run")
     )
-    grams = (
-        _each_length(words, "n")
-        .join(anchored.select("n").distinct(), "n")
-        .withColumn(
-            "run",
-            F.explode(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.length("word") - F.col("n") + 1),
-                        lambda i: F.substring(F.col("word"), i, F.col("n")),
-                    )
-                )
-            ),
+    # one row per run length in use: never more than the longest pattern has letters
+    lengths = F.broadcast(anchored.select("n").distinct())
+    ended = F.concat(F.lit("^"), "word", F.lit("$"))
+    parts = F.array_distinct(
+        F.transform(
+            F.sequence(F.lit(1), F.length("word") + 3 - F.col("n")),
+            lambda i: F.substring(ended, i, F.col("n")),
         )
-        .select("run", "word")
     )
+    grams = each(_each_length(words, "n", 2).join(lengths, "n"), parts, "run", "word")
     contained = (
         anchored.join(grams, "run")
         .where(P.matches(F.col("word"), F.col("pattern")))

@@ -47,6 +47,10 @@ def edges_weighted(spark, folder):
     )
 
 
+def summed_pairs(spark, folder):
+    return written(G.combine_sum(V.edges_v1(V.document_text(spark, folder))), "pairs")
+
+
 @query("dictionary_build", P.with_(*P.V1, P.DICTIONARY) + "SELECT wid, word FROM dictionary")
 def dictionary_build(spark, folder):
     return D.build(D.vocabulary(V.edges_v1(V.document_text(spark, folder))))
@@ -59,9 +63,9 @@ def dictionary_build(spark, folder):
          FROM summed JOIN dictionary a ON a.word = src JOIN dictionary b ON b.word = dst""",
 )
 def edges_indexed(spark, folder):
-    edges = V.edges_v1(V.document_text(spark, folder))
-    dictionary = D.build(D.vocabulary(edges))
-    return D.to_index(G.combine_sum(edges), dictionary).select("wid_from", "wid_to", "w")
+    """Pairs are summed and written before they are read for the dictionary and the index."""
+    summed = summed_pairs(spark, folder)
+    return D.to_index(summed, D.build(D.vocabulary(summed))).select("wid_from", "wid_to", "w")
 
 
 @query("graph_combine_norm", V1_GRAPH + "SELECT src, dst, micro FROM graph")
@@ -178,9 +182,9 @@ def graph_two_hop(spark, folder):
          JOIN dictionary a ON a.word = src JOIN dictionary b ON b.word = dst""",
 )
 def edge_words(spark, folder):
-    edges = V.edges_v1(V.document_text(spark, folder))
-    dictionary = D.build(D.vocabulary(edges))
-    return D.edge_words(D.to_index(G.combine_norm(edges), dictionary), dictionary)
+    summed = summed_pairs(spark, folder)
+    dictionary = D.build(D.vocabulary(summed))
+    return D.edge_words(D.to_index(G.normalise(summed), dictionary), dictionary)
 
 
 @query(

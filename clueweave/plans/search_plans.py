@@ -19,6 +19,7 @@ from clueweave.plans.graph_plans import (
     V1_GRAPH,
     V2_GRAPH,
     chat_graph_v2,
+    summed_pairs,
 )
 from clueweave.plans.registry import query
 from clueweave.session import written
@@ -55,9 +56,9 @@ def chat_graph(spark, folder):
           WHERE d.word IN ({ASKED_SQL}) GROUP BY s.wid, s.word ORDER BY score DESC, word LIMIT 10""",
 )
 def graph_search(spark, folder):
-    edges = V.edges_v1(V.document_text(spark, folder))
-    words = D.build(D.vocabulary(edges))
-    neighbors = D.to_index(G.combine_norm(edges), words)
+    summed = summed_pairs(spark, folder)
+    words = D.build(D.vocabulary(summed))
+    neighbors = D.to_index(G.normalise(summed), words)
     return Q.associate_indexed(words, neighbors, ASKED, "micro", 10).join(words, "word").select(
         "wid", "word", "score"
     )
@@ -128,7 +129,8 @@ PATTERNS = ("th*e?", "?e?", "*ING", "q*")
          SELECT pattern, word FROM hits WHERE rn <= 20""",
 )
 def pattern_search(spark, folder):
-    words = V.vocabulary(V.document_text(spark, folder)).withColumnRenamed("form", "word")
+    vocabulary = V.vocabulary(V.document_text(spark, folder)).withColumnRenamed("form", "word")
+    words = written(vocabulary, "words")
     out = None
     for pattern in PATTERNS:
         found = M.pattern_search(words, pattern).select(F.lit(pattern).alias("pattern"), "word")

@@ -61,16 +61,36 @@ def test_two_hop_keeps_paths_over_the_threshold(spark):
     assert found == {k: w for k, w in best.items() if w >= 10}
 
 
+def test_searches_are_the_same_when_every_key_is_salted(spark, monkeypatch):
+    """All joins of the two-hop graph and the batched searches, with and without pieces."""
+    rng = random.Random(8)
+    triples = {(rng.choice("ABCDE"), rng.choice("ABCDE")): rng.choice([1, 4, 6, 10]) for _ in range(40)}
+    graph = spark.createDataFrame([(a, b, w) for (a, b), w in triples.items()], "src string, dst string, tenths bigint")
+    asked = spark.createDataFrame([(q, rng.choice("ABCDE")) for q in range(6) for _ in range(2)], "qid int, word string")
+
+    def answers():
+        return (
+            rows(G.two_hop(graph, "tenths", 10)),
+            rows(Q.batch_scores(graph, asked, "tenths")),
+            rows(Q.distance_two_scores(graph, asked, "tenths", 10)),
+        )
+
+    plain = answers()
+    real = skew.heavy_keys
+    monkeypatch.setattr(skew, "heavy_keys", lambda rows_, key, share, floor: real(rows_, key, 50, 1))
+    assert answers() == plain
+
+
 def test_salted_join_is_the_plain_join(spark):
     rng = random.Random(5)
     big = [(rng.choice([7] * 20 + list(range(6))), i) for i in range(300)]
     other = [(k, f"v{k}-{i}") for k in range(9) for i in range(2)]
     left = spark.createDataFrame(big, "k int, id int")
     right = spark.createDataFrame(other, "k int, v string")
-    hot = {r.k: r.salts for r in skew.heavy_keys(left, "k", share=10).collect()}
+    hot = {r.k: r.salts for r in skew.heavy_keys(left, "k", share=10, floor=1)}
     assert 7 in hot and hot[7] > 1 and len(hot) < 10
     for how in ("inner", "left"):
-        salted = skew.salted_join(left, right, ["k"], "k", F.col("id"), how=how, share=10)
+        salted = skew.salted_join(left, right, ["k"], "k", F.col("id"), how=how, share=10, floor=1)
         assert rows(salted.select("k", "id", "v")) == rows(left.join(right, "k", how).select("k", "id", "v"))
 
 
