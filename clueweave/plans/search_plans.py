@@ -201,7 +201,8 @@ def solver_requests(spark, folder):
 )
 def solver_batch(spark, folder):
     graph = chat_graph(spark, folder)
-    return M.solve(solver_requests(spark, folder), D.vocabulary(graph), graph, "micro")
+    words = written(D.vocabulary(graph), "words")
+    return M.solve(solver_requests(spark, folder), words, graph, "micro")
 
 
 @query("clue_from_word", P.with_(ITEMS) + "SELECT word, clue FROM items WHERE word = 'HOT'")
