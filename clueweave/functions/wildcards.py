@@ -21,12 +21,12 @@ def to_like(pattern: Column) -> Column:
     return F.replace(F.replace(tidy(pattern), F.lit("*"), F.lit("%")), F.lit("?"), F.lit("_"))
 
 
-def matches(word: Column, pattern: Column) -> Column:
+def matches(word: Column, pattern: Column, is_tidy: bool = False) -> Column:
     """Whole-word match of a pattern that may differ from row to row.
 
     Letters with a single ``*`` need no regex: the word starts and ends as the pattern.
     """
-    tidied = tidy(pattern)
+    tidied = pattern if is_tidy else tidy(pattern)
     head, tail = F.substring_index(tidied, "*", 1), F.substring_index(tidied, "*", -1)
     one_star = F.length(head) + F.length(tail) == F.length(tidied) - 1
     ends = (
@@ -34,7 +34,8 @@ def matches(word: Column, pattern: Column) -> Column:
         & F.endswith(word, tail)
         & (F.length(word) >= F.length(tidied) - 1)
     )
-    regex = F.rlike(word, F.concat(F.lit("^"), to_regex(pattern), F.lit("$")))
+    dotted = F.replace(F.replace(tidied, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
+    regex = F.rlike(word, F.concat(F.lit("^"), dotted, F.lit("$")))
     return F.when(one_star & ~F.contains(tidied, F.lit("?")), ends).otherwise(regex)
 
 

@@ -86,7 +86,7 @@ def match_patterns(words: DataFrame, patterns: DataFrame) -> DataFrame:
     grams = each(_each_length(words, "n", 2).join(lengths, "n"), parts, "run", "word")
     contained = (
         anchored.join(grams, "run")
-        .where(P.matches(F.col("word"), F.col("pattern")))
+        .where(P.matches(F.col("word"), F.col("pattern"), is_tidy=True))
         .select("pattern", "word")
     )
 
@@ -129,7 +129,7 @@ def solve(
 
     asked = entries.where("clue <> ''")
     clue_words = each(asked, T.tokens(T.normalize(F.col("clue"))), "word", "qid", "pattern")
-    scored = batch_scores(edges, clue_words, weight, P.matches(F.col("src"), F.col("pattern")))
+    scored = batch_scores(edges, clue_words, weight, P.matches(F.col("src"), F.col("pattern"), is_tidy=True))
     best = top_k(scored, ["qid"], [F.desc("score"), F.col("word")], k)
     ranked = best.join(asked.select("qid", "rid", "ord", "pos"), "qid").select(
         "rid", "ord", "pos", "rank", "word"
