@@ -4,9 +4,9 @@ import pytest
 from oracle import connect, difference
 
 from __spark_entry__ import entry, oracle_sql, queries
+from clueweave.plans import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +19,7 @@ def test_entry(spark):
 
 
 def test_every_oracle_has_a_query():
+    assert set(oracle_sql()) <= set(queries()) and set(QUERIES) <= set(queries())
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"dt_accuracy", "pca_embeddings", "ppca_embeddings"}
 
