@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clueweave.llm import (
+    decontaminate,
     embedding_dedup,
     html_text,
     license_scan,
@@ -79,6 +80,14 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a window like a benchmark item, and the item."""
+    return decontaminate.contaminated(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
 @query("op5_line_dedup", line_dedup.SQL.format(min_sites=MIN_SITES))
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the lines that many sources share."""
