@@ -14,6 +14,7 @@ from clueweave.llm import (
     packing,
     quality,
     simhash_dedup,
+    substring_dedup,
     token_store,
 )
 from clueweave.llm.common import crc32_of_ids, table, two_hashes
@@ -97,6 +98,12 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the 400-byte strings that stand elsewhere too."""
+    return substring_dedup.remove_repeats(table(spark, folder, "documents"), length=400)
+
+
 @query("op7_license_scan")
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Places of license phrases in every document.
