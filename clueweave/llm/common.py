@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import LongType
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,11 +33,3 @@ def texts_of(column: pa.Array, limit: int = 1 << 22) -> Iterator[list[str | None
             run, size = [], 0
     if run:
         yield run
-
-
-@arrow_udf(LongType())
-def crc32_of_ids(ids: pa.Array) -> pa.Array:
-    """Unsigned CRC32 of each id list written as little-endian unsigned 32-bit integers."""
-    flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-    ends = np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()])
-    return pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends, ends[1:])], pa.int64())

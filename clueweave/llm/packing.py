@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clueweave.llm.common import texts_of
-from clueweave.llm.encode import Encoder
+from clueweave.llm.encode import encoder
 from clueweave.session import written
 
 #: Rows of an Arrow batch of pieces, each at most ``longest`` ids.
@@ -39,7 +39,8 @@ def decompose(
 ) -> DataFrame:
     """Pieces ``(doc_id, start, length, doc_tokens, ids, sequence_id, offset)`` of ``docs``.
 
-    ``docs`` needs ``doc_id`` and ``text``; ``longest`` is a power of two.  The texts are encoded
+    ``docs`` needs ``doc_id`` and ``text``; ``longest`` is a power of two; ``ids`` are little-endian
+    unsigned 32-bit integers.  The texts are encoded
     once in the scan; pieces are stored with their partition and their place among the pieces of
     the same length there.  Sequence ids (bucket after bucket, longest first) come from the counts
     per partition and length, a table of at most eleven rows per partition at ``longest`` 1024.
@@ -48,7 +49,7 @@ def decompose(
         raise ValueError("longest must be a power of two")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
-        f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids array<int>, "
+        f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids binary, "
         "part int, slot bigint"
     )
     pieces = written(
@@ -73,15 +74,15 @@ def decompose(
 def _cutter(tokenizer: str, cut: str, end_id: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder, slots, rows = Encoder(tokenizer, cut), Counter(), []
+        slots, rows = Counter(), []
         for batch in batches:
             keys, at = batch.column(0), 0
             for texts in texts_of(batch.column(1)):
-                for ids in encoder.ids(texts):
-                    ids = np.append(ids.astype(np.int32), np.int32(end_id))
+                for ids in encoder(tokenizer, cut).ids(texts):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     start = 0
                     for length in piece_lengths(len(ids), longest):
-                        piece = ids[start : start + length]
+                        piece = ids[start : start + length].tobytes()
                         rows.append((keys[at], start, length, len(ids), piece, part, slots[length]))
                         slots[length] += 1
                         start += length
@@ -98,14 +99,13 @@ def _cutter(tokenizer: str, cut: str, end_id: int, longest: int):
 
 def _batch(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
     keys, start, length, total, ids, part, slot = zip(*rows)
-    ends = pa.array(np.cumsum([0, *length]), pa.int32())
     return pa.RecordBatch.from_arrays(
         [
             pa.array([k.as_py() for k in keys], key_type),
             pa.array(start, pa.int64()),
             pa.array(length, pa.int64()),
             pa.array(total, pa.int64()),
-            pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids))),
+            pa.array(ids, pa.binary()),
             pa.array(part, pa.int32()),
             pa.array(slot, pa.int64()),
         ],

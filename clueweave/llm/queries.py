@@ -17,7 +17,7 @@ from clueweave.llm import (
     substring_dedup,
     token_store,
 )
-from clueweave.llm.common import crc32_of_ids, table, two_hashes
+from clueweave.llm.common import table, two_hashes
 from clueweave.llm.encode import default_path
 
 QUERIES: dict = {}
@@ -52,7 +52,7 @@ def packed(docs: DataFrame) -> DataFrame:
         docs, default_path("byte_bpe_50k.json"), "blank", end_id=0, longest=LONGEST_SEQUENCE
     )
     return pieces.select(
-        "doc_id", "start", "length", crc32_of_ids("ids").alias("ids_crc32"),
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
         "doc_tokens", "sequence_id", "offset",
     )
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clueweave.llm.common import texts_of
-from clueweave.llm.encode import Encoder
+from clueweave.llm.encode import encoder
 from clueweave.session import shared_dir, written
 
 MAGIC = b"EFTOKEN1"
@@ -182,12 +182,12 @@ def write_store(
 def _writer(folder: str, tokenizer: str, cut: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, out = TaskContext.get().partitionId(), 0, None
-        encoder = Encoder(tokenizer, cut)
-        width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        encode = encoder(tokenizer, cut)
+        width = 2 if max(encode.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         for batch in batches:
             keys, at = batch.column(0).to_pylist(), 0
             for texts in texts_of(batch.column(1)):
-                for ids in encoder.ids(texts):
+                for ids in encode.ids(texts):
                     if out is None:
                         out = _Open(folder, part, number, width)
                     out.add(keys[at], np.append(ids, np.uint32(end_id)))
