@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from clueweave.session import written
+
 #: Bounds of the training sample.
 PER_CLASS = 2500
 LONGEST_TEXT = 50_000
@@ -117,25 +119,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest_text: int = LONGEST_TEXT) -> Model | None:
+def fit(
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest_text: int = LONGEST_TEXT
+) -> Model | None:
     """Fit on the labelled rows of ``docs`` that are not held out; None without both classes."""
-    marked = labels.groupBy("doc_id").agg(F.min("quality").alias("__quality"))
-    rows = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    rows = rows.join(marked.where(F.col("__quality").isin(0, 1)), "doc_id")
-    counts = dict(rows.groupBy("__quality").count().collect())
+    marked = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    # ids and lengths decide which rows are taken; only the chosen texts move, to the driver
+    rows = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
+    rows = rows.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size"))
+    rows = written(rows.join(marked.where(F.col("quality").isin(0, 1)), "doc_id"), "labelled")
+    counts = dict(rows.groupBy("quality").count().collect())
     if len(counts) < 2:
         return None
-    texts = {
+    chosen = {
         q: [
-            r.text
-            for r in rows.where((F.col("__quality") == q) & (F.octet_length("text") <= longest_text))
+            r.doc_id
+            for r in rows.where((F.col("quality") == q) & (F.col("size") <= longest_text))
+            .select("doc_id")
             .orderBy(F.xxhash64("doc_id"), "doc_id")
-            .select("text")
             .limit(per_class)
             .collect()
         ]
         for q in (0, 1)
     }
+    ids = docs.sparkSession.createDataFrame(
+        [(i,) for q in (0, 1) for i in chosen[q]], docs.select("doc_id").schema
+    )
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text IS NOT NULL")
+    found = dict(found.groupBy("doc_id").agg(F.min("text")).collect())
+    texts = {q: [found[i] for i in chosen[q]] for q in (0, 1)}
     if not texts[0] or not texts[1]:
         return None
     first = {q: t[::2] for q, t in texts.items()}
