@@ -128,7 +128,9 @@ def clue_date(text: Column) -> Column:
     """``Wednesday 6 May 2015 00.01 BST`` -> ISO day in GMT; unreadable -> null."""
     unnamed = F.regexp_replace(F.trim(text), "^[A-Za-z]+ +", "")
     moment = F.try_to_timestamp(unnamed, F.lit("d MMMM y HH.mm z"))
-    return F.date_format(moment, "yyyy-MM-dd")
+    # the session's time zone must not decide the day
+    gmt = F.to_utc_timestamp(moment, F.current_timezone())
+    return F.date_format(gmt, "yyyy-MM-dd")
 
 
 def compact_date(text: Column) -> Column:

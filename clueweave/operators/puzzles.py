@@ -64,8 +64,8 @@ def typed(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     out = []
     for name, kind in columns.items():
         default = TYPE_DEFAULTS[kind.split("(")[0]]
-        value = F.trim(F.col(name).cast("string"))
-        value = value if kind == "string" else F.expr(f"try_cast(trim(cast({name} as string)) as {kind})")
+        value = F.trim(F.col(f"`{name}`").cast("string"))
+        value = value if kind == "string" else value.try_cast(kind)
         out.append(F.coalesce(value, F.lit(default).cast(kind)).alias(name))
     return rows.select(*out)
 

@@ -33,12 +33,13 @@ def related(edges: DataFrame) -> DataFrame:
     return there.unionByName(back.where("rel IS NOT NULL")).distinct()
 
 
-def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """``(node, anc, dist)``: all proper ancestors with every path length.
 
     Each round lengthens the newest paths by one edge and is written, so lineage stays
     flat.  Only edges that start at an inner node can lengthen a path, which keeps the
-    joined side small; busy ancestors are salted.
+    joined side small; busy ancestors are salted.  The rounds end when nothing is longer,
+    however deep the hierarchy; a node that reaches itself is an error.
     """
     direct = written(edges.select(F.col("child").alias("node"), F.col("parent").alias("anc")).distinct(), "closure")
     inner = written(
@@ -49,7 +50,9 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     )
     frontier = direct.withColumn("dist", F.lit(1))
     levels = frontier
-    for _ in range(max_rounds):
+    while True:
+        if not frontier.where("node = anc").isEmpty():
+            raise ValueError("the hierarchy has a cycle")
         longer = salted_join(
             frontier.withColumnRenamed("anc", "key"), inner, ["key"], "key", F.col("node")
         )
@@ -60,7 +63,6 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if frontier.isEmpty():
             return levels
         levels = levels.unionByName(frontier)
-    raise ValueError(f"no end of the hierarchy after {max_rounds} levels; is there a cycle?")
 
 
 def with_self(paths: DataFrame) -> DataFrame:

@@ -162,20 +162,17 @@ def clue_fanout(spark, folder):
     "crossing_candidates",
     P.with_(ITEMS)
     + """, puzzle_words AS (SELECT DISTINCT cwid, word FROM items),
-         seeds AS (SELECT cwid, arg_min(word, (-length(word), word)) AS word FROM puzzle_words GROUP BY cwid),
          a AS (SELECT cwid, word, unnest(string_split(word, '')) AS letter,
-                      CAST(unnest(range(length(word))) AS INTEGER) AS pos FROM seeds),
+                      CAST(unnest(range(length(word))) AS INTEGER) AS pos FROM puzzle_words),
          b AS (SELECT cwid, word AS next_word, unnest(string_split(word, '')) AS letter,
                       CAST(unnest(range(length(word))) AS INTEGER) AS next_pos FROM puzzle_words)
          SELECT cwid, word, next_word, letter, pos, next_pos FROM a JOIN b USING (cwid, letter)
-         WHERE word <> next_word""",
+         WHERE word < next_word""",
 )
 def crossing_candidates(spark, folder):
-    """The longest word of each puzzle is placed first; where can the others cross it?"""
+    """Where any two words of a puzzle can cross."""
     words = V.placed_words(spark, folder).select("cwid", "word").distinct()
-    longest = F.min_by("word", F.struct(-F.length("word"), "word"))
-    seeds = words.groupBy("cwid").agg(longest.alias("word"))
-    return R.crossings(seeds, words)
+    return R.crossings(words, words).where("word < next_word")
 
 
 @query(

@@ -270,9 +270,9 @@ def random_words(spark, folder):
 
 #: held-out entries: the benchmark entries are the test rows, all other bags the training rows
 HELD_OUT = """expected AS (
-  SELECT src_id * 10000 + win AS qid, words[1] AS word FROM all_bags WHERE category = 'equivalents'),
+  SELECT concat_ws(':', src_id, win) AS qid, words[1] AS word FROM all_bags WHERE category = 'equivalents'),
 asked AS (
-  SELECT DISTINCT src_id * 10000 + win AS qid, unnest(defs) AS word
+  SELECT DISTINCT concat_ws(':', src_id, win) AS qid, unnest(defs) AS word
   FROM all_bags WHERE category = 'equivalents')"""
 TRAIN_BAGS = P.BAGS.replace("clean_bags AS (", "all_bags AS (") + """,
 clean_bags AS (SELECT * FROM all_bags WHERE category <> 'equivalents')"""
@@ -283,7 +283,7 @@ EVALUATE = """SELECT CAST(count(*) AS BIGINT) AS n_queries, CAST(count(h.qid) AS
 
 
 def held_out(bags):
-    test = bags.where("category = 'equivalents'").withColumn("qid", F.expr("src_id * 10000 + win"))
+    test = bags.where("category = 'equivalents'").withColumn("qid", F.concat_ws(":", "src_id", "win"))
     return (
         bags.where("category <> 'equivalents'"),
         test.select("qid", F.explode("defs").alias("word")),

@@ -44,9 +44,9 @@ BAG_TEXT = """bag_text AS (
 CHAT_TEXT = """bag_text AS (
   SELECT CASE role WHEN 'user' THEN 'clues' WHEN 'assistant' THEN 'definitions'
               ELSE 'examples' END AS category,
-         conv_id * 1000 + turn AS src_id, text FROM conversations
-  UNION ALL SELECT 'equivalents', item_id, text FROM benchmark
-  UNION ALL SELECT 'associated', page_id,
+         concat_ws(':', conv_id, turn) AS src_id, text FROM conversations
+  UNION ALL SELECT 'equivalents', CAST(item_id AS VARCHAR), text FROM benchmark
+  UNION ALL SELECT 'associated', CAST(page_id AS VARCHAR),
          regexp_extract(html, '<title>([^<]*)</title>', 1) FROM pages)"""
 
 #: tumbling entries of eight tokens: two headwords, then up to six definition tokens

@@ -46,11 +46,11 @@ def chat_text(spark: SparkSession, folder: str) -> DataFrame:
         F.when(role == "user", "clues").when(role == "assistant", "definitions").otherwise("examples")
     )
     turns = spread(table(spark, folder, "conversations")).select(
-        category.alias("category"), (F.col("conv_id") * 1000 + F.col("turn")).alias("src_id"), "text"
+        category.alias("category"), F.concat_ws(":", "conv_id", "turn").alias("src_id"), "text"
     )
-    bench = table(spark, folder, "benchmark").select(F.lit("equivalents"), "item_id", "text")
+    bench = table(spark, folder, "benchmark").select(F.lit("equivalents"), F.col("item_id").cast("string"), "text")
     titles = table(spark, folder, "pages").select(
-        F.lit("associated"), "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+        F.lit("associated"), F.col("page_id").cast("string"), F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     )
     return turns.union(bench).union(titles)
 
