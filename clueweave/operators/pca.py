@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from clueweave.session import written
 
+#: Rounds that are always made before the threshold counts.
+LEAST_ROUNDS = 5
+
 
 def column_stats(rows: DataFrame, column: str) -> DataFrame:
     """``(pos, n, mean, variance)`` per array position, ignoring nulls."""
@@ -72,7 +76,7 @@ def ppca(
     column: str,
     k: int = 2,
     threshold: float = 1e-5,
-    max_rounds: int = 200,
+    max_rounds: int | None = None,
     seed: int = 11,
     flush: int = 8,
 ) -> Components:
@@ -82,7 +86,9 @@ def ppca(
     components); only those reach the driver, which solves the small systems.  A row's
     hidden cells depend on its scores of the round before: tasks replay the parameters
     since the state was last written, and the state is rewritten every ``flush`` rounds,
-    so neither the replay nor the lineage grows with the number of rounds.
+    so neither the replay nor the lineage grows with the number of rounds.  The rounds go on until
+    the objective changes by less than ``threshold``; with ``max_rounds`` an unconverged fit is an
+    error.
     """
     stats = column_stats(rows, column).orderBy("pos").toPandas()  # one row per dimension
     mean, d = stats["mean"].to_numpy(), len(stats)
@@ -134,7 +140,7 @@ def ppca(
 
     noise = float(sums(start, [], None)[0] / (n * d - missing))
     old, done = np.inf, 0
-    for done in range(1, max_rounds + 1):
+    for done in itertools.count(1):
         params = (loadings, noise)
         total = sums(start, history, params)
         yx, xx, yy = total[: d * k].reshape(d, k), total[d * k : d * k + k * k].reshape(k, k), total[-1]
@@ -151,9 +157,11 @@ def ppca(
             - missing * np.log(previous)
         )
         change, old = abs(1 - objective / old), objective
-        if change < threshold and done > 5:
+        if change < threshold and done >= LEAST_ROUNDS:
             break
-        if len(history) == flush and done < max_rounds:
+        if done == max_rounds:
+            raise RuntimeError(f"not converged after {done} rounds, last change {change:.3g}")
+        if len(history) == flush:
             state = written(_replay(state, key, start, history, states), "ppca")
             start, history = None, []
 

@@ -79,7 +79,7 @@ def roots(paths: DataFrame) -> DataFrame:
 
 def _root_paths(paths: DataFrame) -> DataFrame:
     tops = paths.select("anc").distinct().join(paths.select(F.col("node").alias("anc")).distinct(), "anc", "left_anti")
-    below = paths.join(tops, "anc").select("node", F.col("anc").alias("root"), "dist")
+    below = salted_join(paths, tops, ["anc"], "anc", F.col("node")).select("node", F.col("anc").alias("root"), "dist")
     return below.unionByName(tops.select(F.col("anc").alias("node"), F.col("anc").alias("root"), F.lit(0).alias("dist")))
 
 
@@ -174,7 +174,9 @@ def depth_similarities(lca: DataFrame, depths: DataFrame) -> DataFrame:
     def at(name):
         return depths.select(F.col("node").alias(name), F.col("depth_max").alias(f"depth_{name}"))
 
-    joined = lca.join(at("a"), "a").join(at("b"), "b").join(at("lca"), "lca")
+    joined = salted_join(lca, at("a"), ["a"], "a", F.col("b"))
+    joined = salted_join(joined, at("b"), ["b"], "b", F.col("a"), counted=lca)
+    joined = salted_join(joined, at("lca"), ["lca"], "lca", F.col("a"), counted=lca)
     path_nodes = F.col("da") + F.col("db") + 1
     return joined.select(
         "a",
@@ -200,7 +202,9 @@ def content_similarities(lca: DataFrame, ic: DataFrame) -> DataFrame:
     def at(name):
         return ic.select(F.col("node").alias(name), F.col("ic").alias(f"ic_{name}"))
 
-    joined = lca.join(at("a"), "a").join(at("b"), "b").join(at("lca"), "lca")
+    joined = salted_join(lca, at("a"), ["a"], "a", F.col("b"))
+    joined = salted_join(joined, at("b"), ["b"], "b", F.col("a"), counted=lca)
+    joined = salted_join(joined, at("lca"), ["lca"], "lca", F.col("a"), counted=lca)
     both, shared = F.col("ic_a") + F.col("ic_b"), F.col("ic_lca")
     return joined.select(
         "a",

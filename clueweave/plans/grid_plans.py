@@ -213,13 +213,13 @@ def generator_candidates(spark, folder):
          UNION ALL SELECT 'words(wid)', count(*) FROM (
            SELECT 1 FROM part GROUP BY p_partkey HAVING count(*) > 1)
          UNION ALL SELECT 'words(word)', count(*) FROM (
-           SELECT 1 FROM part GROUP BY upper(split_part(p_name, ' ', 1)) HAVING count(*) > 1)
+           SELECT 1 FROM part GROUP BY upper(replace(p_name, ' ', '')) HAVING count(*) > 1)
          UNION ALL SELECT 'puzzles(cwid)', count(*) FROM (
            SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1)""",
 )
 def integrity_pk(spark, folder):
     parts = V.table(spark, folder, "part").select(
-        F.col("p_partkey").alias("wid"), F.upper(F.substring_index("p_name", " ", 1)).alias("word")
+        F.col("p_partkey").alias("wid"), F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("word")
     )
     orders = V.table(spark, folder, "orders").select(F.col("o_orderkey").alias("cwid"))
     return K.primary_keys(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clueweave.functions.directions import parse_direction
 from clueweave.operators import pages as H
 from clueweave.operators import wiki as W
+from clueweave.operators.unnest import each_struct
 from clueweave.plans import standins as V
 from clueweave.plans.registry import query
 from clueweave.session import spread
@@ -61,11 +62,11 @@ ANCHOR = '<a href="([^"]*)">([^<]*)</a>'
                unnest(regexp_extract_all(html, '{ANCHOR}', 2)) AS label FROM pages""",
 )
 def html_links(spark, folder):
-    found = H.repeated(pages(spark, folder), ANCHOR, "href", "label")
-    site = V.table(spark, folder, "pages").select(
-        "page_id", F.regexp_extract("url", "^https?://[^/]*", 0).alias("site")
+    site = F.regexp_extract("url", "^https?://[^/]*", 0)
+    found = each_struct(
+        pages(spark, folder), H.matches(F.col("html"), ANCHOR, "href", "label"), "href", "page_id", site.alias("site")
     )
-    return found.join(site, "page_id").select("page_id", F.concat("site", "href").alias("link"), "label")
+    return found.select("page_id", F.concat("site", "href").alias("link"), "label")
 
 
 @query(
@@ -106,16 +107,31 @@ def html_zip_join(spark, folder):
 )
 def html_clue_join(spark, folder):
     """List items as numbered places, their labels as letters and paragraphs as clues."""
-    source = pages(spark, folder)
-    side = parse_direction(F.when(F.col("pos") % 2 == 0, "across").otherwise("down"))
-    key = ["page_id", (F.col("pos") + 1).alias("num"), side.alias("dir")]
-    items = H.repeated(source, ITEM, "href", "label")
-    locations = items.select(
-        *key, F.expr("(29 * pos + 3) div 29").cast("int").alias("x"), F.expr("pos div 5").cast("int").alias("y")
+    labels = F.regexp_extract_all("html", F.lit(ITEM), F.lit(2))
+    paras = F.regexp_extract_all("html", F.lit(PARAGRAPH), F.lit(1))
+
+    def key(pos):
+        side = parse_direction(F.when(pos % 2 == 0, "across").otherwise("down"))
+        return (pos + 1).alias("num"), side.alias("dir")
+
+    locations = F.transform(
+        labels,
+        lambda _, p: F.struct(
+            *key(p),
+            F.floor((29 * p + 3) / 29).cast("int").alias("x"),
+            F.floor(p / 5).cast("int").alias("y"),
+        ),
+    )
+    letters = F.flatten(
+        F.transform(
+            labels,
+            lambda label, p: F.transform(
+                F.split(label, ""), lambda c, i: F.struct(*key(p), i.alias("i"), c.alias("letter"))
+            ),
+        )
     )
-    letters = items.select(*key, F.posexplode(F.split("label", "")).alias("i", "letter")).where("letter <> ''")
-    clues = H.repeated(source, PARAGRAPH, "para").select(*key, F.trim("para").alias("clue"))
-    return H.join_words(locations, letters, clues)
+    clues = F.transform(paras, lambda text, p: F.struct(*key(p), F.trim(text).alias("clue")))
+    return H.join_words(pages(spark, folder), locations, letters, clues)
 
 
 @query(
@@ -126,10 +142,8 @@ def html_clue_join(spark, folder):
 def incremental_new_pages(spark, folder):
     done = V.table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"))
     fresh = H.new_pages(pages(spark, folder), done)
-    usable, failed = H.quarantine(fresh, F.regexp_like("html", F.lit("<h1>[^<]+</h1>")))
-    return usable.select("page_id", "url", F.lit("new").alias("state")).union(
-        failed.select("page_id", "url", F.lit("failed"))
-    )
+    usable = F.regexp_like("html", F.lit("<h1>[^<]+</h1>"))
+    return fresh.select("page_id", "url", F.when(usable, "new").otherwise("failed").alias("state"))
 
 
 #: how page markup is turned into wiki markup, in this order (pattern, replacement)

@@ -28,7 +28,7 @@ SEED = "11"
 
 ITEMS = """items AS (
   SELECT l_orderkey AS cwid, l_partkey AS wid, l_linenumber AS x, CAST(l_suppkey % 7 AS INTEGER) AS y,
-         upper(split_part(p_name, ' ', 1)) AS word, p_type AS clue,
+         upper(replace(p_name, ' ', '')) AS word, p_type AS clue,
          CASE WHEN l_partkey % 2 = 0 THEN 'East' ELSE 'South' END AS dir
   FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
@@ -59,9 +59,7 @@ def graph_search(spark, folder):
     summed = summed_pairs(spark, folder)
     words = D.build(D.vocabulary(summed))
     neighbors = D.to_index(G.normalise(summed), words)
-    return Q.associate_indexed(words, neighbors, ASKED, "micro", 10).join(words, "word").select(
-        "wid", "word", "score"
-    )
+    return Q.associate_indexed(words, neighbors, ASKED, "micro", 10)
 
 
 @query(
@@ -227,7 +225,7 @@ def clues_for_words(spark, folder):
 @query(
     "puzzle_items",
     """SELECT l_orderkey AS cwid, l_partkey AS wid, l_linenumber AS x,
-              upper(split_part(p_name, ' ', 1)) AS word, p_type AS clue
+              upper(replace(p_name, ' ', '')) AS word, p_type AS clue
        FROM lineitem JOIN part ON p_partkey = l_partkey""",
 )
 def puzzle_items(spark, folder):

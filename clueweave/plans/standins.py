@@ -126,7 +126,7 @@ def placed_words(spark: SparkSession, folder: str) -> DataFrame:
     )
     parts = table(spark, folder, "part").select(
         F.col("p_partkey").alias("wid"),
-        F.upper(F.substring_index("p_name", " ", 1)).alias("word"),
+        F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("word"),
         F.col("p_type").alias("clue"),
     )
     return (

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from clueweave.functions import directions as R
@@ -17,7 +14,7 @@ from clueweave.plans import sqlparts as P
 from clueweave.plans import standins as V
 from clueweave.plans.graph_plans import CHAT
 from clueweave.plans.registry import query
-from clueweave.session import shared_dir, spread
+from clueweave.session import fresh_path, spread
 from clueweave.sources import bag_text
 
 
@@ -224,10 +221,6 @@ def bag_clean(spark, folder):
     return bag.select(F.array_join("words", ",").alias("words"), F.array_join("defs", ",").alias("defs"))
 
 
-def _fresh(spark, label):
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-
-
 @query(
     "bag_text_v1",
     P.with_(P.CHAT_TEXT, P.BAGS)
@@ -235,7 +228,7 @@ def _fresh(spark, label):
          FROM clean_bags""",
 )
 def bag_text_v1(spark, folder):
-    path = _fresh(spark, "bags-v1")
+    path = fresh_path(spark, "bags-v1")
     bag_text.write_v1(V.clean_bags(V.chat_text(spark, folder)), path)
     return bag_text.read_v1(spark, path).select(
         "category", F.array_join("words", ",").alias("words"), F.array_join("defs", ",").alias("defs")
@@ -253,7 +246,7 @@ def bag_text_v1(spark, folder):
          FROM long_stems GROUP BY category, src_id, win""",
 )
 def bag_text_v2(spark, folder):
-    path = _fresh(spark, "bags-v2")
+    path = fresh_path(spark, "bags-v2")
     bag_text.write_v2(V.stemmed_bags(V.chat_text(spark, folder)), path)
     fields = [F.array_join(f, ",").alias(f) for f in bag_text.V2_FIELDS]
     return bag_text.read_v2(spark, path).select("category", *fields)

@@ -52,6 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new name below the application's part of the shared folder."""
+    return os.path.join(
+        shared_dir(spark), spark.sparkContext.applicationId, f"{label}-{uuid.uuid4().hex}"
+    )
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Store ``df`` as Parquet in the shared folder and read it back.
 
@@ -59,9 +66,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     RDD checkpoint, keeps column pruning and gives later joins a real size estimate.
     """
     spark = df.sparkSession
-    path = os.path.join(
-        shared_dir(spark), spark.sparkContext.applicationId, f"{label}-{uuid.uuid4().hex}"
-    )
+    path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

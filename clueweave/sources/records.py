@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ENTRIES_PER_FILE = 1000
+BYTES_PER_FILE = 64 << 20
 
 PLACED = T.StructType(
     [
@@ -37,8 +41,8 @@ ENTRY = T.StructType(
 )
 
 
-def _json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One row per top-level object of every ``.json`` file below ``path`` (any codec).
+def _json(spark: SparkSession, path: str, schema: T.StructType, pattern: str) -> DataFrame:
+    """One row per top-level object of every file below ``path`` whose name fits (any codec).
 
     An array file gives one row per element.  Whole-file JSON cannot be split, so large
     collections should be stored as Parquet after the first read.
@@ -47,24 +51,29 @@ def _json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         spark.read.schema(schema)
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json*")
+        .option("pathGlobFilter", pattern)
         .json(path)
         .withColumn("file_name", F.col("_metadata.file_name"))
     )
 
 
-def read_puzzles(spark: SparkSession, path: str) -> DataFrame:
+def read_puzzles(spark: SparkSession, path: str, pattern: str = "*.json*") -> DataFrame:
     """Puzzle records; ``categories`` becomes an array whether it was a list or a string."""
     raw = F.col("categories")
     listed = F.from_json(raw, "array<string>")
-    return _json(spark, path, PUZZLE).withColumn(
+    return _json(spark, path, PUZZLE, pattern).withColumn(
         "categories",
         F.when(raw.isNull(), F.lit(None)).when(F.startswith(F.ltrim(raw), F.lit("[")), listed).otherwise(F.array(raw)),
     )
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, ENTRY)
+def read_entries(spark: SparkSession, path: str, pattern: str = "*.json*") -> DataFrame:
+    return _json(spark, path, ENTRY, pattern)
+
+
+def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Records of JSON lines, the form :func:`write_json` writes; such files can be split."""
+    return spark.read.schema(schema).json(path)
 
 
 def read_nested_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -81,6 +90,32 @@ def write_json(
     records.write.option("maxRecordsPerFile", per_file).json(path, compression=codec)
 
 
+def write_arrays(
+    records: DataFrame, path: str, per_file: int = ENTRIES_PER_FILE,
+    max_bytes: int = BYTES_PER_FILE, nested: bool = False, codec: str = "bzip2",
+) -> None:
+    """Array files of at most ``per_file`` records and ``max_bytes`` bytes (a larger record stands
+    alone); ``nested`` puts the array into another one."""
+    begin, end = ("[[", "]]") if nested else ("[", "]")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            for value in batch["value"]:
+                n = len(value.encode()) + 1
+                if held and (len(held) == per_file or size + n > max_bytes):
+                    yield pd.DataFrame({"value": [begin + ",".join(held) + end]})
+                    held, size = [], 0
+                held.append(value)
+                size += n
+        if held:
+            yield pd.DataFrame({"value": [begin + ",".join(held) + end]})
+
+    lines = records.select(F.to_json(F.struct("*")).alias("value"))
+    arrays = lines.mapInPandas(pack, "value string")
+    arrays.write.option("maxRecordsPerFile", 1).text(path, compression=codec)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """``(title, text)`` of the main-namespace pages of an XML dump."""
     schema = "title string, ns int, revision struct<text: string>"

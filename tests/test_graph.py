@@ -32,7 +32,8 @@ def test_association_over_stored_tables(spark):
     words, neighbors = six_nodes(spark)
 
     def ask(*query):
-        return [tuple(r) for r in Q.associate_indexed(words, neighbors, list(query), "tenths").collect()]
+        found = Q.associate_indexed(words, neighbors, list(query), "tenths")
+        return [tuple(r) for r in found.select("word", "score").collect()]
 
     assert ask("A", "E") == [("C", 11), ("F", 9), ("B", 5)]
     assert ask("A") == [("B", 5), ("C", 2)]
