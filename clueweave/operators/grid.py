@@ -135,12 +135,22 @@ def rebuild(spans: DataFrame, filled: DataFrame) -> DataFrame:
 def validation(items: DataFrame) -> DataFrame:
     """``(cwid, rule, n)`` for every broken rule, instead of an exception per puzzle."""
 
-    def rule(rows, name):
-        return rows.groupBy("cwid").agg(F.count(F.lit(1)).alias("n")).select(
-            "cwid", F.lit(name).alias("rule"), "n"
-        )
+    is_legal, is_empty = F.col("dir").isin(*LEGAL), F.col("word") == ""
+    counted = items.groupBy("cwid").agg(
+        F.count_if(is_empty).alias("empty"),
+        F.count_if(~is_legal).alias("turned"),
+        F.count_if(is_legal & ~is_empty).alias("usable"),
+    )
 
-    legal = items.where(F.col("dir").isin(*LEGAL))
+    def rule(name, n):
+        return F.struct(F.lit(name).alias("rule"), n.cast("bigint").alias("n"))
+
+    alone = F.array(
+        rule("empty word", F.col("empty")),
+        rule("direction", F.col("turned")),
+        rule("empty grid", F.col("usable") == 0),
+    )
+    legal = items.where(is_legal)
     filled = cells(legal)
     found = words_from_cells(filled).groupBy("cwid").agg(F.count(F.lit(1)).alias("found"))
     given = unique_entries(legal).groupBy("cwid").agg(F.count(F.lit(1)).alias("given"))
@@ -149,10 +159,10 @@ def validation(items: DataFrame) -> DataFrame:
         F.lit("clue count").alias("rule"),
         F.abs(F.col("given") - F.coalesce("found", F.lit(0))).alias("n"),
     ).where("n > 0")
+    overlaps = conflicts(legal).groupBy("cwid").agg(F.count(F.lit(1)).alias("n"))
     return (
-        rule(items.where("word = ''"), "empty word")
-        .unionByName(rule(items.where(~F.col("dir").isin(*LEGAL)), "direction"))
-        .unionByName(rule(conflicts(legal), "overlap"))
+        counted.select("cwid", F.inline(alone)).where("n > 0")
+        .unionByName(overlaps.select("cwid", F.lit("overlap").alias("rule"), "n"))
         .unionByName(wrong_count)
     )
 

@@ -140,6 +140,15 @@ def grid_validation(spark, folder):
     return R.validation(V.placed_words(spark, folder))
 
 
+@query("grid_cell_count", GRID + "SELECT cwid, count(*) AS missing FROM conflicts GROUP BY cwid")
+def grid_cell_count(spark, folder):
+    """Grids whose size, black cells and undisputed letters do not add up."""
+    items = V.placed_words(spark, folder)
+    black = R.lines(items).select("cwid", F.explode(F.split("line", "")).alias("cell")).where("cell = '.'")
+    solved = R.cells(items).join(R.conflicts(items), ["cwid", "x", "y"], "left_anti")
+    return R.cell_count_check(R.extents(items), black, solved)
+
+
 @query(
     "clue_fanout",
     """SELECT p_partkey AS cwid, p_type AS clue, unnest(string_split(p_name, ' ')) AS word,

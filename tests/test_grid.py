@@ -49,7 +49,7 @@ def test_validation_rules(spark):
         spark, (1, 0, 2, "AXN", "", "East"), (2, 0, 0, "", "", "East"), (2, 0, 0, "UP", "", "North"), (3, 0, 0, "A", "", "East")
     )
     assert rows(R.validation(bad)) == [
-        (1, "overlap", 1), (2, "clue count", 1), (2, "direction", 1), (2, "empty word", 1), (3, "clue count", 1),
+        (1, "overlap", 1), (2, "clue count", 1), (2, "direction", 1), (2, "empty grid", 1), (2, "empty word", 1), (3, "clue count", 1),
     ]
 
 

@@ -55,6 +55,17 @@ def test_json_roundtrip_with_bounded_files(spark, tmp_path):
     assert all(k not in bz2.decompress(files[0].read_bytes()).decode().splitlines()[1] for k in ("examples", "null"))
 
 
+@pytest.mark.parametrize("nested", [False, True])
+def test_array_files_are_bounded(spark, tmp_path, nested):
+    entries = spark.range(25).select(F.repeat(F.lit("w"), F.col("id").cast("int")).alias("word"))
+    path = str(tmp_path / "arrays")
+    records.write_arrays(entries.coalesce(1), path, per_file=10, max_bytes=300, nested=nested, codec="none")
+    files = [f for f in (tmp_path / "arrays").iterdir() if f.name.endswith(".txt")]
+    assert len(files) > 2 and all(f.stat().st_size <= 310 for f in files)
+    read = records.read_nested_entries(spark, path) if nested else records.read_entries(spark, path, "*.txt*")
+    assert sorted(len(r.word) for r in read.collect()) == list(range(25))
+
+
 def test_nested_arrays_are_flattened(spark, tmp_path):
     (tmp_path / "n").mkdir()
     (tmp_path / "n" / "a.json").write_text('[[{"word":"a"},{"word":"b"}],[{"word":"c","other":["x"]}]]')
