@@ -203,21 +203,23 @@ def solver_batch(spark, folder):
     return M.solve(solver_requests(spark, folder), words, graph, "micro")
 
 
-@query("clue_from_word", P.with_(ITEMS) + "SELECT word, clue FROM items WHERE word = 'HOT'")
+@query("clue_from_word", P.with_(ITEMS) + "SELECT word, clue FROM items WHERE word = 'HOTGEAR'")
 def clue_from_word(spark, folder):
-    return Z.clues_of(V.placed_words(spark, folder), "HOT")
+    return Z.clues_of(V.placed_words(spark, folder), "HOTGEAR")
 
 
 @query(
     "clues_for_words",
     P.with_(ITEMS)
-    + """, asked AS (SELECT DISTINCT unnest(string_split(upper(p_name), ' ')) AS word FROM part)
+    + """, asked AS (SELECT DISTINCT unnest([split_part(upper(p_name), ' ', 1), upper(replace(p_name, ' ', ''))]) AS word FROM part)
          SELECT a.word, coalesce(min(clue), 'No clue found') AS clue
          FROM asked a LEFT JOIN items i ON i.word = a.word GROUP BY a.word""",
 )
 def clues_for_words(spark, folder):
     asked = V.table(spark, folder, "part").select(
-        F.explode(F.split(F.upper("p_name"), " ")).alias("word")
+        F.explode(
+            F.array(F.substring_index(F.upper("p_name"), " ", 1), F.upper(F.replace("p_name", F.lit(" "), F.lit(""))))
+        ).alias("word")
     )
     return Z.clue_for_each(asked.distinct(), V.placed_words(spark, folder))
 
@@ -234,7 +236,7 @@ def puzzle_items(spark, folder):
     )
     words = V.table(spark, folder, "part").select(
         F.col("p_partkey").alias("wid"),
-        F.upper(F.substring_index("p_name", " ", 1)).alias("word"),
+        F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("word"),
         F.col("p_type").alias("clue"),
     )
     return Z.puzzle_items(items, words).select("cwid", "wid", "x", "word", "clue")
