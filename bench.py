@@ -37,6 +37,7 @@ def main() -> None:
         f"local[{cpus}]",
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "16g"),
         spark__sql__shuffle__partitions=str(cpus),
+        spark__clueweave__scan__partitions=str(cpus),
     )
     seconds = {}
     for name in names:

@@ -22,15 +22,9 @@ def letter_features(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumns({f"f_{c.lower()}": letter_count(F.col(text), c) for c in LETTERS}).drop(text)
 
 
-def letter_table(rows: DataFrame, text: str, *keep: str) -> DataFrame:
-    """Tall form ``(*keep, feature, n)`` without the zero counts."""
-    counts = F.array(
-        *[
-            F.struct(F.lit(c).alias("feature"), letter_count(F.col(text), c).cast("bigint").alias("n"))
-            for c in LETTERS
-        ]
-    )
-    return rows.select(*keep, F.inline(counts)).where("n > 0")
+def letter_array(text: Column) -> Column:
+    """Counts of the 26 letters as one array; a letter that does not occur is null."""
+    return F.array(*[F.nullif(letter_count(text, c), F.lit(0)) for c in LETTERS])
 
 
 def hash_split(rows: DataFrame, key: str, below: str) -> Column:
@@ -42,67 +36,69 @@ def random_split(rows: DataFrame, weights: list[float], seed: int = 11) -> list[
     return rows.randomSplit(weights, seed)
 
 
-def naive_bayes(features: DataFrame, examples: DataFrame, smoothing: float = 1.0) -> DataFrame:
-    """Multinomial model ``(label, feature, value)``; the log prior has feature ``''``.
+def naive_bayes(
+    examples: DataFrame, counts: str = "counts", size: int = len(LETTERS), smoothing: float = 1.0
+) -> DataFrame:
+    """Multinomial model as one row: array ``model`` of ``(label, prior, values)``.
 
-    ``features`` is ``(label, feature, n)`` over a bounded feature set (26 letters, or the
-    terms kept by feature reduction); ``examples`` is one ``(label)`` row per example.
-    The feature sums are taken before anything is shuffled, so a dominant label is harmless.
+    ``examples`` has a ``label`` and an array of ``size`` feature counts in which null means
+    absent; rows without a label are left out.  A label is one row of sums, taken before anything
+    is shuffled, so a dominant label is harmless; the model has size x labels numbers and is meant
+    for small alphabets and class sets.  A feature no example has gets a null value.
     """
-    sums = features.groupBy("label", "feature").agg(F.sum("n").alias("s"))
-    labels = examples.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"))
-    names = sums.select("feature").distinct()
-    totals = sums.groupBy("label").agg(F.sum("s").alias("total"))
-    n_features = names.agg(F.count(F.lit(1)))
-    n_rows = labels.agg(F.sum("n_label"))
-    n_labels = labels.agg(F.count(F.lit(1)))
-    priors = labels.select(
-        "label",
-        F.lit("").alias("feature"),
-        F.log(
-            (F.col("n_label") + smoothing) / (n_rows.scalar() + n_labels.scalar() * smoothing)
-        ).alias("value"),
+    cells = [F.sum(F.get(counts, F.lit(i))).cast("double") for i in range(size)]
+    sums = examples.where("label IS NOT NULL").groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*cells).alias("sums")
     )
-    # a label without a feature still has a smoothed likelihood for it
-    known = labels.select("label").withColumn(
-        "feature", F.explode(names.agg(F.array_sort(F.collect_list("feature"))).scalar())
+    gathered = sums.agg(F.array_sort(F.collect_list(F.struct("label", "n", "sums"))).alias("labels"))
+    add = lambda total, x: total + F.coalesce(x, F.lit(0)).cast("double")
+    sizes = gathered.select(
+        "labels",
+        F.aggregate("labels", F.lit(0.0), lambda total, one: total + one["n"]).alias("n_rows"),
+        F.transform(
+            F.sequence(F.lit(0), F.lit(size - 1)),
+            lambda i: F.exists("labels", lambda one: F.get(one["sums"], i).isNotNull()),
+        ).alias("seen"),
     )
-    likelihood = (
-        known.join(sums, ["label", "feature"], "left")
-        .join(totals, "label", "left")
-        .select(
-            "label",
-            "feature",
-            F.log(
-                (F.coalesce("s", F.lit(0)) + smoothing)
-                / (F.coalesce("total", F.lit(0)) + n_features.scalar() * smoothing)
-            ).alias("value"),
+    n_labels, n_seen = F.size("labels"), F.size(F.filter("seen", lambda s: s))
+
+    def fitted(one):
+        total = F.aggregate(one["sums"], F.lit(0.0), add) + n_seen * smoothing
+        value = lambda s, i: F.when(
+            F.get(F.col("seen"), i), F.log((F.coalesce(s, F.lit(0.0)) + smoothing) / total)
         )
-    )
-    return priors.unionByName(likelihood)
-
-
-def predict(model: DataFrame, features: DataFrame, key: str) -> DataFrame:
-    """``(key, label)`` of the most likely label; ``features`` is ``(key, feature, n)``."""
-    priors = model.where("feature = ''").select("label", F.col("value").alias("prior"))
-    parts = features.join(model.select("feature", "label", "value"), "feature")
-    scores = (
-        parts.groupBy(key, "label")
-        .agg(F.sum(F.col("n") * F.col("value")).alias("likelihood"))
-        .join(priors, "label")
-        .select(key, "label", (F.col("prior") + F.col("likelihood")).alias("score"))
-    )
-    # max_by keeps one running best per key and partition, so no key's rows are gathered
-    return scores.groupBy(key).agg(F.max_by("label", "score").alias("label"))
+        return F.struct(
+            one["label"].alias("label"),
+            F.log((one["n"] + smoothing) / (F.col("n_rows") + n_labels * smoothing)).alias("prior"),
+            F.transform(one["sums"], value).alias("values"),
+        )
+
+    return sizes.select(F.transform("labels", fitted).alias("model"))
+
 
+def predict(model: DataFrame, examples: DataFrame, counts: str = "counts") -> DataFrame:
+    """``examples`` with the most likely label as ``predicted``, scored inside the row.
 
-def accuracy(predicted: DataFrame, truth: DataFrame, key: str) -> DataFrame:
-    """Share of the rows of ``truth`` whose predicted label is right."""
-    right = (F.col("p.label") == F.col("t.label")).cast("bigint")
-    joined = truth.alias("t").join(predicted.alias("p"), F.col(f"t.{key}") == F.col(f"p.{key}"), "left")
-    return joined.agg(
-        F.count(F.lit(1)).alias("n_test"), F.sum(F.coalesce(right, F.lit(0))).alias("n_right")
-    ).withColumn("accuracy", F.col("n_right") / F.col("n_test"))
+    Null when an example has none of the features of the model.
+    """
+    rows = examples.select("*", model.scalar().alias("nb"))
+
+    def score(one):
+        parts = F.zip_with(counts, one["values"], lambda n, value: n * value)
+        likelihood = F.aggregate(parts, F.lit(0.0), lambda total, p: total + F.coalesce(p, F.lit(0.0)))
+        known = F.exists(parts, lambda p: p.isNotNull())
+        return F.when(known, F.struct((one["prior"] + likelihood).alias("score"), one["label"].alias("label")))
+
+    best = F.array_max(F.transform("nb", score))
+    return rows.withColumn("predicted", best["label"]).drop("nb")
+
+
+def accuracy(predicted: DataFrame, label: str = "label", guess: str = "predicted") -> DataFrame:
+    """Share of the rows whose predicted label is right; none predicted is wrong."""
+    right = F.coalesce((F.col(label) == F.col(guess)).cast("bigint"), F.lit(0))
+    return predicted.agg(F.count(F.lit(1)).alias("n_test"), F.sum(right).alias("n_right")).withColumn(
+        "accuracy", F.col("n_right") / F.col("n_test")
+    )
 
 
 def labelled_vectors(rows: DataFrame, columns: list[str], label: str) -> DataFrame:

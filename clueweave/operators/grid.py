@@ -216,7 +216,8 @@ def crossing_counts(words: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("own"), F.min("pos").alias("first_pos")
     )
     totals = own.groupBy("letter").agg(F.sum("own").alias("total"))
-    return own.join(totals, "letter").select(
+    # at most one row per code point, about 1.1 million
+    return own.join(F.broadcast(totals), "letter").select(
         "word", "letter", "first_pos", (F.col("total") - F.col("own")).alias("partners")
     )
 

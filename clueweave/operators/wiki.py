@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clueweave.operators.unnest import each, each_placed
+from clueweave.operators.unnest import each_placed, each_struct
 
 LANGUAGE = "English"
 MACRO = r"\{\{.*?\}\}"
@@ -104,41 +104,57 @@ def _english(rows: DataFrame) -> DataFrame:
 _PLACE = ["page_id", "word", "lang_no", "sec_no", "line_no"]
 
 
-def definitions(rows: DataFrame) -> DataFrame:
-    """Paragraphs and list lines up to depth two of part-of-speech sections, and translation glosses."""
-    english = _english(rows)
-    own = english.where(is_category(F.col("section")) & F.rlike("line", F.lit(DEFINITION_LINE)))
-    listed = own.select(*_PLACE, raw_text(F.regexp_replace("line", "^#+", "")).alias("text"))
-    glosses = english.where(F.rlike("line", F.lit(TRANSLATION))).select(
-        *_PLACE, F.trim(F.regexp_extract("line", TRANSLATION, 1)).alias("text")
-    )
-    return listed.unionByName(glosses).where("text <> ''")
+def _entry(kind: Column | str, text: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), text.alias("text"))
 
 
-def examples(rows: DataFrame) -> DataFrame:
-    """Usage and quotation lines of part-of-speech sections."""
-    own = _english(rows).where(is_category(F.col("section")) & F.rlike("line", F.lit(EXAMPLE_LINE)))
-    return own.select(*_PLACE, raw_text(F.regexp_replace("line", "^[#:*]+", "")).alias("text")).where("text <> ''")
+def _filled(*arrays: Column) -> Column:
+    """The entries of all arrays whose text is not empty; a null array has none."""
+    return F.filter(F.flatten(F.array_compact(F.array(*arrays))), lambda e: e["text"] != "")
 
 
-def references(rows: DataFrame) -> DataFrame:
-    """``(page_id, word, kind, term)``: distinct link targets and spellings by section class."""
-    english = _english(rows)
+def _definition_entries() -> Column:
+    line = F.col("line")
+    own = is_category(F.col("section")) & F.rlike(line, F.lit(DEFINITION_LINE))
+    listed = F.when(own, F.array(_entry("definitions", raw_text(F.regexp_replace(line, "^#+", "")))))
+    gloss = F.array(_entry("definitions", F.trim(F.regexp_extract(line, TRANSLATION, 1))))
+    return _filled(listed, F.when(F.rlike(line, F.lit(TRANSLATION)), gloss))
+
+
+def _example_entries() -> Column:
+    own = is_category(F.col("section")) & F.rlike("line", F.lit(EXAMPLE_LINE))
+    return _filled(F.when(own, F.array(_entry("examples", raw_text(F.regexp_replace("line", "^[#:*]+", ""))))))
+
+
+def _reference_entries() -> Column:
     kind = (
         F.when(is_equivalent(F.col("section")), "equivalents")
         .when(is_associated(F.col("section")), "associated")
         .otherwise("other")
     )
-    found = F.regexp_extract_all("line", F.lit(LINK), F.lit(1))
-    links = each(english, found, "link", "page_id", "word", kind.alias("kind")).select(
-        "page_id", "word", "kind", clean_reference(F.col("link")).alias("term")
+    links = F.transform(
+        F.regexp_extract_all("line", F.lit(LINK), F.lit(1)), lambda link: _entry(kind, clean_reference(link))
     )
-    named = F.regexp_extract_all("line", F.lit(SPELLING), F.lit(1))
-    spellings = each(
-        english.where(is_category(F.col("section"))),
-        named, "term", "page_id", "word", F.lit("spelling").alias("kind"),
+    spellings = F.transform(
+        F.regexp_extract_all("line", F.lit(SPELLING), F.lit(1)), lambda term: _entry("spelling", term)
     )
-    return links.unionByName(spellings).where("term <> ''").distinct()
+    return _filled(links, F.when(is_category(F.col("section")), spellings))
+
+
+def definitions(rows: DataFrame) -> DataFrame:
+    """Paragraphs and list lines up to depth two of part-of-speech sections, and translation glosses."""
+    return each_struct(_english(rows), _definition_entries(), "text", *_PLACE).drop("kind")
+
+
+def examples(rows: DataFrame) -> DataFrame:
+    """Usage and quotation lines of part-of-speech sections."""
+    return each_struct(_english(rows), _example_entries(), "text", *_PLACE).drop("kind")
+
+
+def references(rows: DataFrame) -> DataFrame:
+    """``(page_id, word, kind, term)``: distinct link targets and spellings by section class."""
+    found = each_struct(_english(rows), _reference_entries(), "text", "page_id", "word")
+    return found.withColumnRenamed("text", "term").distinct()
 
 
 def partition_terms(found: DataFrame) -> DataFrame:
@@ -158,21 +174,26 @@ def partition_terms(found: DataFrame) -> DataFrame:
 def records(rows: DataFrame) -> DataFrame:
     """One record per page and word; empty lists are null (and absent from JSON).
 
-    A record gathers what one page holds, so it is never larger than its page.
+    Every line gives all its entries at once, so the pages are read once and grouped once.  A
+    record gathers what one page holds, so it is never larger than its page; its terms are put
+    into their strongest class inside the record.
     """
-    terms = partition_terms(references(rows)).select(
-        "page_id", "word", "kind", F.lit(0).alias("sec_no"), F.lit(0).alias("line_no"), F.col("term").alias("text")
-    )
-    parts = terms
-    for kind, texts in (("definitions", definitions(rows)), ("examples", examples(rows))):
-        parts = parts.unionByName(
-            texts.select("page_id", "word", F.lit(kind).alias("kind"), "sec_no", "line_no", "text")
-        )
+    everything = F.concat(_definition_entries(), _example_entries(), _reference_entries())
+    entries = each_struct(_english(rows), everything, "text", *_PLACE)
+    foreign = (F.lower("text") != F.lower("word")) | ~F.col("kind").isin("equivalents", "associated", "other")
+    kind = F.when(F.col("kind") == "spelling", "equivalents").otherwise(F.col("kind"))
 
-    def listed(kind):
-        entries = F.collect_list(F.when(F.col("kind") == kind, F.struct("sec_no", "line_no", "text")))
-        ordered = F.array_sort(entries)["text"]
-        return F.when(F.size(ordered) > 0, ordered).alias(kind)
+    def gathered(name):
+        return F.collect_list(F.when(kind == name, F.struct("sec_no", "line_no", "text"))).alias(name)
 
     kinds = ("equivalents", "associated", "other", "definitions", "examples")
-    return parts.groupBy("page_id", "word").agg(*[listed(k) for k in kinds])
+    pages = entries.where(foreign).groupBy("page_id", "word").agg(*[gathered(k) for k in kinds])
+    terms = {k: F.array_distinct(F.col(k)["text"]) for k in kinds[:3]}
+    weaker = F.array_except(terms["associated"], terms["equivalents"])
+    lists = {
+        "equivalents": F.array_sort(terms["equivalents"]),
+        "associated": F.array_sort(weaker),
+        "other": F.array_sort(F.array_except(F.array_except(terms["other"], terms["equivalents"]), weaker)),
+        **{k: F.array_sort(k)["text"] for k in kinds[3:]},
+    }
+    return pages.select("page_id", "word", *[F.when(F.size(v) > 0, v).alias(k) for k, v in lists.items()])

@@ -13,6 +13,8 @@ from clueweave.operators import dictionary as D
 from clueweave.operators import graph as G
 from clueweave.operators import pca as A
 from clueweave.operators import retrieval as I
+from clueweave.operators.skew import salted_join
+from clueweave.operators.unnest import each_struct
 from clueweave.plans import sqlparts as P
 from clueweave.plans import standins as V
 from clueweave.plans.registry import query
@@ -202,22 +204,40 @@ char_tfidf AS (
   FROM letters l JOIN char_idf USING (feature) JOIN ids i ON i.lang = l.label)"""
 
 
-def char_tfidf_table(spark, folder):
-    """``(doc_id, label, feature, n)``: letter TF-IDF with dictionary ids of the language."""
-    texts = letter_text(spark, folder)
-    counts = C.letter_table(texts, "t", "doc_id", "label")
-    total = texts.agg(F.count(F.lit(1)))
-    weights = counts.groupBy("feature").agg(
-        F.log((total.scalar() + 1) / (F.count(F.lit(1)) + 1)).alias("idf")
-    )
+def lettered(spark, folder):
+    """``(doc_id, label, counts)``: letter counts as one array per document."""
+    return letter_text(spark, folder).select("doc_id", "label", C.letter_array(F.col("t")).alias("counts"))
+
+
+def lang_ids(spark, folder):
+    """Map from language to dictionary id; the languages are the classes, so they are few."""
     ids = D.build(V.table(spark, folder, "documents"), "lang")
-    return (
-        counts.join(weights, "feature")
-        .join(ids.select(F.col("wid").alias("id"), F.col("word").alias("label")), "label")
-        .select(
-            "doc_id", F.col("id").alias("label"), "feature", F.round(F.col("n") * F.col("idf"), 6).alias("n")
-        )
+    return ids.agg(F.map_from_entries(F.collect_list(F.struct("word", "wid")))).scalar()
+
+
+def char_tfidf_table(spark, folder):
+    """``(doc_id, label, counts)``: letter TF-IDF with dictionary ids of the language.
+
+    The 26 document frequencies are one row, so no letter is ever a join key.
+    """
+    rows = written(lettered(spark, folder), "letters")
+    holding = F.array(*[F.count(F.get("counts", F.lit(i))) for i in range(len(C.LETTERS))])
+    weights = rows.agg(F.count(F.lit(1)).alias("n"), holding.alias("df")).select(
+        F.transform("df", lambda df: F.log((F.col("n") + 1) / (df + 1)))
     )
+    keyed = rows.select(
+        "doc_id", "counts", F.try_element_at(lang_ids(spark, folder), F.col("label")).alias("label"),
+        weights.scalar().alias("idf"),
+    ).where("label IS NOT NULL")
+    weighted = F.zip_with("counts", "idf", lambda n, w: F.round(n * w, 6))
+    return keyed.select("doc_id", "label", weighted.alias("counts"))
+
+
+def letter_cells(values):
+    """``(feature, value)`` structs of an array over the letters, without the absent ones."""
+    letters = F.array(*[F.lit(c) for c in C.LETTERS])
+    cells = F.zip_with(letters, values, lambda c, v: F.struct(c.alias("feature"), v.alias("value")))
+    return F.filter(cells, lambda cell: cell["value"].isNotNull())
 
 
 @query(
@@ -225,7 +245,7 @@ def char_tfidf_table(spark, folder):
     P.with_(LETTERS, CHAR_TFIDF) + "SELECT doc_id, label, feature, n AS value FROM char_tfidf",
 )
 def char_tfidf(spark, folder):
-    return char_tfidf_table(spark, folder).withColumnRenamed("n", "value")
+    return each_struct(char_tfidf_table(spark, folder), letter_cells("counts"), "feature", "doc_id", "label")
 
 
 @query(
@@ -266,12 +286,11 @@ ACCURACY = """SELECT CAST(count(*) AS BIGINT) AS n_test,
   FROM truth t LEFT JOIN predicted p USING (doc_id) WHERE NOT train"""
 
 
-def evaluate(features, examples):
+def evaluate(examples):
     """Train on four fifths of the documents and score the rest."""
     train = C.hash_split(examples, "doc_id", "cc")
-    model = C.naive_bayes(features.where(train), examples.where(train))
-    predicted = C.predict(model, features.where(~train).drop("label"), "doc_id")
-    return C.accuracy(predicted, examples.where(~train).select("doc_id", "label"), "doc_id")
+    model = C.naive_bayes(examples.where(train))
+    return C.accuracy(C.predict(model, examples.where(~train)))
 
 
 @query(
@@ -281,11 +300,12 @@ def evaluate(features, examples):
          UNION ALL SELECT label, feature, round(value, 6) FROM likelihood""",
 )
 def nb_model(spark, folder):
-    texts = letter_text(spark, folder)
-    features = C.letter_table(texts, "t", "doc_id", "label")
-    train = C.hash_split(texts, "doc_id", "cc")
-    model = C.naive_bayes(features.where(train), texts.where(train))
-    return model.withColumn("value", F.round("value", 6))
+    rows = lettered(spark, folder)
+    model = C.naive_bayes(rows.where(C.hash_split(rows, "doc_id", "cc")))
+    prior = F.array(F.struct(F.lit("").alias("feature"), F.col("prior").alias("value")))
+    cells = F.concat(prior, letter_cells("values"))
+    labelled = model.select(F.inline("model"))
+    return each_struct(labelled, cells, "feature", "label").withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -293,9 +313,7 @@ def nb_model(spark, folder):
     P.with_(LETTERS, nb_sql("letters", "(SELECT doc_id, lang AS label FROM documents)")) + ACCURACY,
 )
 def nb_accuracy(spark, folder):
-    texts = letter_text(spark, folder)
-    features = written(C.letter_table(texts, "t", "doc_id", "label"), "letters")
-    return evaluate(features, V.table(spark, folder, "documents").select("doc_id", F.col("lang").alias("label")))
+    return evaluate(written(lettered(spark, folder), "letters"))
 
 
 @query(
@@ -308,17 +326,14 @@ def nb_accuracy(spark, folder):
     + ACCURACY,
 )
 def nb_accuracy_tfidf(spark, folder):
-    features = written(char_tfidf_table(spark, folder), "letters")
-    ids = D.build(V.table(spark, folder, "documents"), "lang").withColumnRenamed("word", "lang")
-    truth = V.table(spark, folder, "documents").select("doc_id", "lang").join(ids, "lang")
-    return evaluate(features, truth.select("doc_id", F.col("wid").alias("label")))
+    return evaluate(char_tfidf_table(spark, folder))
 
 
 def labelled_letters(spark, folder):
     wide = C.letter_features(letter_text(spark, folder), "t")
-    ids = D.build(V.table(spark, folder, "documents"), "lang").withColumnRenamed("word", "label")
+    keyed = wide.withColumn("wid", F.try_element_at(lang_ids(spark, folder), F.col("label"))).drop("label")
     columns = [f"f_{c.lower()}" for c in C.LETTERS]
-    return C.labelled_vectors(wide.join(ids, "label").drop("label"), columns, "wid").select(
+    return C.labelled_vectors(keyed.where("wid IS NOT NULL"), columns, "wid").select(
         "doc_id", "label", "features"
     )
 
@@ -328,8 +343,7 @@ def dt_accuracy(spark, folder):
     rows = written(labelled_letters(spark, folder), "letters")
     train = C.hash_split(rows, "doc_id", "b3")
     model = C.train_tree(rows.where(train))
-    predicted = model.transform(rows.where(~train)).select("doc_id", F.col("prediction").alias("label"))
-    return C.accuracy(predicted, rows.where(~train).select("doc_id", "label"), "doc_id")
+    return C.accuracy(model.transform(rows.where(~train)), guess="prediction")
 
 
 @query(
@@ -373,7 +387,8 @@ def vector_ops_dense(spark, folder):
         F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("cells")
     ).select("label", F.col("cells.m").alias("centre"))
     a, b = F.col("embedding"), F.col("centre")
-    return rows.join(centre, "label").select(
+    # few labels hold all vectors
+    return salted_join(rows, centre, ["label"], "label", F.col("vec_id")).select(
         "vec_id",
         F.round(X.dot(a, b), 6).alias("dot"),
         F.round(X.norm(a), 6).alias("length"),

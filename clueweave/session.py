@@ -19,6 +19,9 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: Optional number of partitions for scans of text tables, see :func:`spread`.
+SCAN_PARTITIONS = "spark.clueweave.scan.partitions"
+
 
 def get_session(app: str = "clueweave", master: str | None = None, **conf: str) -> SparkSession:
     """Build (or fetch) a session with the library defaults plus ``conf``.
@@ -72,10 +75,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Re-distribute a scan that has fewer splits than the session has cores.
+    """Re-distribute a scan over as many partitions as the session asks for, if it does.
 
-    A small file with one row group would otherwise keep one core busy; a large input
-    already has enough splits and passes through without a shuffle.
+    Set ``spark.clueweave.scan.partitions`` where inputs are small files with one row group, which
+    a scan cannot split.  Unset, as on large inputs, the scan stays as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df

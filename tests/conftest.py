@@ -12,7 +12,8 @@ from clueweave.session import get_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = get_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="6g"
+        "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="6g",
+        spark__clueweave__scan__partitions="8",
     )
     yield session
     session.stop()

@@ -61,7 +61,10 @@ def main() -> int:
 
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     wanted = sys.argv[1:]
-    spark = get_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g")
+    spark = get_session(
+        "oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g",
+        spark__clueweave__scan__partitions="8",
+    )
     con = connect(folder)
     oracles, bad = oracle_sql(), 0
     for name, fn in queries().items():

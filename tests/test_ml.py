@@ -82,23 +82,36 @@ def test_letter_counts(spark):
     assert (wide.f_a, wide.f_b, wide.f_z, wide.f_e) == (2, 2, 1, 0)
 
 
-def test_relational_naive_bayes_equals_mllib(spark):
+def test_naive_bayes_equals_mllib(spark):
     rows = letter_rows(spark)
-    features = C.letter_table(rows, "t", "doc_id", "label")
-    model = C.naive_bayes(features, rows)
-    mine = {r.doc_id: r.label for r in C.predict(model, features.drop("label"), "doc_id").collect()}
-    used = [r.feature for r in features.select("feature").distinct().orderBy("feature").collect()]
-    wide = C.letter_features(rows, "t")
-    vectors = C.labelled_vectors(wide, [f"f_{c.lower()}" for c in used], "label")
+    examples = rows.withColumn("counts", C.letter_array(F.col("t")))
+    model = C.naive_bayes(examples)
+    predicted = C.predict(model, examples)
+    mine = {r.doc_id: r.predicted for r in predicted.collect()}
+    fitted_labels = model.first().model
+    used = [c for c, v in zip(C.LETTERS, fitted_labels[0]["values"]) if v is not None]
+    assert used == list("ABCDEFZ")
+    vectors = C.labelled_vectors(C.letter_features(rows, "t"), [f"f_{c.lower()}" for c in used], "label")
     fitted = C.train_naive_bayes(vectors)
     theirs = {r.doc_id: int(r.prediction) for r in fitted.transform(vectors).collect()}
     assert mine == theirs
-    prior = {r.label: r.value for r in model.where("feature = ''").collect()}
-    assert np.allclose([prior[i] for i in range(3)], fitted.pi.toArray())
-    report = C.accuracy(C.predict(model, features.drop("label"), "doc_id"), rows, "doc_id").first()
+    assert np.allclose([one.prior for one in fitted_labels], fitted.pi.toArray())
+    shown = [[v for v in one["values"] if v is not None] for one in fitted_labels]
+    assert np.allclose(shown, fitted.theta.toArray())
+    report = C.accuracy(predicted).first()
     assert report.n_test == 90 and report.accuracy > 0.9
 
 
+def test_naive_bayes_without_known_features(spark):
+    examples = letter_rows(spark).withColumn("counts", C.letter_array(F.col("t")))
+    strange = spark.createDataFrame([(1, 0, "QQ"), (2, 0, ""), (3, None, "AAAB")], "doc_id long, label long, t string")
+    strange = strange.withColumn("counts", C.letter_array(F.col("t")))
+    got = {r.doc_id: r.predicted for r in C.predict(C.naive_bayes(examples), strange).collect()}
+    assert got == {1: None, 2: None, 3: 0}
+    empty = C.naive_bayes(strange.where("doc_id = 3"))
+    assert empty.first().model == [] and C.predict(empty, strange).where("predicted IS NOT NULL").count() == 0
+
+
 def test_tree_and_vectors(spark):
     rows = letter_rows(spark)
     vectors = C.labelled_vectors(C.letter_features(rows, "t"), [f"f_{c.lower()}" for c in C.LETTERS], "label")
