@@ -3,10 +3,12 @@
 All rolling word bigrams of all documents are joined to the positions they have in the templates.
 A hit at word ``p`` of a document and word ``t`` of a template votes for the diagonal ``p - t``;
 votes are added up per document, template and diagonal.  Diagonals of one template that lie at
-most ``slack`` words apart, one after the other, are merged, so a few inserted or missing words do
-not break a match.  A merged span is verified: the template's words must be covered in order by
-at least ``cover`` of its length.  Phrases of the ``base`` templates must stand word for word, on
-one diagonal with every vote; all such places count.
+most ``slack`` words apart, one after the other, are chained, so a few inserted or missing words do
+not break a match.  A chain may be as long as the text (license lists, repeated phrases), so its
+windows are verified: from each hit on, ``slack`` more words than the template has must cover at
+least ``cover`` of the template's bigrams, each once and in order.  Per last word the best window
+counts, so a template that stands word for word is always found, at its own place.  Phrases of the
+``base`` templates must stand word for word, on one diagonal with every vote; all such places count.
 
 Only DataFrame functions are used.  Templates are a constant list, far below a megabyte whatever
 the corpus, so they are broadcast; nothing but hits is ever shuffled.
@@ -85,6 +87,37 @@ def templates(spark, base=BASE, further=FURTHER) -> DataFrame:
     )
 
 
+def covers(hits: Column, size: Column, slack: int) -> Column:
+    """``(start, end, votes)`` of the best window from each hit on: the most template positions in
+    order, in the fewest words.  ``hits`` are structs ``(p, back)``, ``back`` the negative template
+    position; sorted, hits of one word come last position first, so each word counts once."""
+    reach = size + F.lit(slack - 2)
+
+    def step(line: Column, hit: Column) -> Column:
+        before = F.filter(line, lambda x: x["back"] > hit["back"])
+        longest = F.array_max(F.transform(before, lambda x: x["votes"])) + 1
+        return F.concat(line, F.array(F.struct(longest.alias("votes"), hit["p"].alias("p"), hit["back"].alias("back"))))
+
+    def of(found: Column) -> Column:
+        def best(hit: Column, i: Column) -> Column:
+            # a word has no more hits than the template has bigrams
+            near = F.slice(found, i + 2, (reach + 1) * size)
+            near = F.filter(near, lambda x: (x["p"] <= hit["p"] + reach) & (x["back"] < hit["back"]))
+            first = F.array(F.struct(F.lit(1).alias("votes"), hit["p"].alias("p"), hit["back"].alias("back")))
+            ends = F.transform(
+                F.aggregate(near, first, step), lambda x: F.struct(x["votes"].alias("votes"), (-x["p"]).alias("p"))
+            )
+            return F.transform(
+                F.array(F.array_max(ends)),
+                lambda x: F.struct(hit["p"].alias("start"), (F.lit(2) - x["p"]).alias("end"), x["votes"].alias("votes")),
+            )
+
+        return F.flatten(F.transform(found, best))
+
+    # within transform the hits have a name, so they are sorted once per chain
+    return F.get(F.transform(F.array(F.array_sort(hits)), of), F.lit(0))
+
+
 def spans(
     docs: DataFrame, key: list[str], slack: int = SLACK, cover: float = COVER,
     base=BASE, further=FURTHER,
@@ -101,40 +134,35 @@ def spans(
     diagonals = (
         hits.withColumn("diagonal", F.col("p") - F.col("at"))
         .groupBy(*group, "diagonal")
-        .agg(
-            F.size(F.collect_set("at")).alias("votes"),
-            F.min("at").alias("low"),
-            F.max("at").alias("high"),
-        )
+        .agg(F.collect_set("at").alias("voted"))
     )
-    whole = diagonals.where(F.col("base") & (F.col("votes") == F.col("size") - 1)).select(
+    whole = diagonals.where(F.col("base") & (F.size("voted") == F.col("size") - 1)).select(
         *key, "template", "label", "base", F.col("diagonal").alias("start"),
         (F.col("diagonal") + F.col("size")).alias("end"), F.lit(1.0).alias("coverage"),
     )
     line = Window.partitionBy(*key, "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(line)
-    merged = (
+    placed = F.transform(
+        "voted", lambda at: F.struct((F.col("diagonal") + at).alias("p"), (-at).alias("back"))
+    )
+    chains = (
         diagonals.where(~F.col("base"))
         .withColumn("new", F.when(apart.isNull() | (apart > slack), 1).otherwise(0))
-        .withColumn("span", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*group, "span")
-        .agg(
-            F.min(F.col("diagonal") + F.col("low")).alias("start"),
-            F.max(F.col("diagonal") + F.col("high") + 2).alias("end"),
-            F.sum("votes").alias("votes"),
-            F.min("low").alias("low"),
-            F.max("high").alias("high"),
-        )
+        .withColumn("chain", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*group, "chain")
+        .agg(F.flatten(F.collect_list(placed)).alias("hits"))
     )
-    # in order and nearly whole: as many votes as needed, over no more words than the template
-    # and the slack allow, reaching from its first part to its last
+    # no window covers more than its chain
     needed = F.ceil(F.lit(cover) * (F.col("size") - 1))
-    verified = merged.where(
-        (F.col("votes") >= needed)
-        & (F.col("high") - F.col("low") + 1 >= needed)
-        & (F.col("end") - F.col("start") <= F.col("size") + slack)
-    ).select(
-        *key, "template", "label", "base", "start", "end",
-        F.least(F.lit(1.0), F.col("votes") / (F.col("size") - 1)).alias("coverage"),
+    many = chains.where(F.size(F.array_distinct(F.transform("hits", lambda h: h["back"]))) >= needed)
+    windows = unnest.each_struct(many, covers(F.col("hits"), F.col("size"), slack), "votes", *group)
+    verified = (
+        windows.where(F.col("votes") >= needed)
+        .groupBy(*group, "end")
+        .agg(F.max(F.struct("votes", "start")).alias("best"))
+        .select(
+            *key, "template", "label", "base", F.col("best.start").alias("start"), "end",
+            (F.col("best.votes") / (F.col("size") - 1)).alias("coverage"),
+        )
     )
     return whole.unionByName(verified)

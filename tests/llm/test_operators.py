@@ -201,6 +201,48 @@ def test_license_scan(docs, nothing):
     assert license_scan.spans(nothing, ["text"]).count() == 0
 
 
+def covered(w, phrase):
+    """Share of the phrase's word pairs that a few words hold in order (longest common subsequence)."""
+    pairs, own = list(zip(w, w[1:])), list(zip(phrase, phrase[1:]))
+    table = [[0] * (len(own) + 1) for _ in range(len(pairs) + 1)]
+    for i, a in enumerate(pairs):
+        for j, b in enumerate(own):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + (a == b))
+    return table[-1][-1] / len(own)
+
+
+def test_license_lists(spark):
+    """Further templates in lists and repetitive text, against all windows of each text."""
+    mit, isc = license_scan.FURTHER[1][1], license_scan.FURTHER[13][1]
+    given = [
+        "CC BY, CC BY-SA, CC BY-NC", "cc by sa " * 3, "cc by sa cc by nc cc by nd " * 40, "cc by " * 50,
+        "cc by, by sa", "by sa cc by", f"{mit} {mit}", mit.replace("free of", "free free of"), mit.replace("hereby ", ""),
+        f"{mit[:40]} {mit[:40]} {mit}", "granted free of charge " * 9, f"{isc} cc by-nd {isc}", None, "",
+    ]
+    rows = spark.createDataFrame([(t,) for t in [*given, given[0]]], "text string")
+    found = license_scan.spans(rows, ["text"]).where("not base").collect()
+    assert len({(r.text, r.template, r.start, r.end) for r in found}) == len(found)
+    exact, best = set(), {}
+    for text in filter(None, given):
+        w = text.lower().replace("-", " ").replace(",", " ").split()
+        for n, (_, phrase) in enumerate(license_scan.FURTHER, len(license_scan.BASE)):
+            p = phrase.split()
+            size = len(p)
+            exact |= {(text, n, i, i + size) for i in range(len(w)) if w[i : i + size] == p}
+            top = max(covered(w[i : i + size + license_scan.SLACK], p) for i in range(len(w)))
+            if top >= license_scan.COVER:
+                best[text, n] = top
+    assert exact == {(r.text, r.template, r.start, r.end) for r in found if r.coverage == 1 and r.end - r.start == len(license_scan.FURTHER[r.template - 3][1].split())}
+    got = {}
+    for r in found:
+        got[r.text, r.template] = max(r.coverage, got.get((r.text, r.template), 0))
+        w = r.text.lower().replace("-", " ").replace(",", " ").split()
+        assert r.coverage == covered(w[r.start : r.end], license_scan.FURTHER[r.template - 3][1].split())
+    assert got == best
+    assert {r.label for r in found if r.text == given[0]} == {"cc-by-sa", "cc-by-nc"}
+    assert [(r.start, r.end) for r in sorted(found, key=lambda r: r.start) if r.text == given[1]] == [(0, 3), (3, 6), (6, 9)]
+
+
 def test_html(spark):
     page = (
         "<html><head><title>t</title><script>if (a < b) x('</p>')</script></head><body><nav><a href=x>menu</a></nav>"
