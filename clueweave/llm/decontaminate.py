@@ -2,7 +2,7 @@
 
 A document is contaminated by an item if one of its windows with as many words as the item has a
 weighted-shingle similarity of at least ``threshold``: the sum of the smaller counts of each word
-shingle over the sum of the larger ones.
+shingle over the sum of the larger ones.  A document shorter than the item is one window.
 
 1. A window without any of the item's shingles has similarity zero, and moving a window's start to
    its first shared shingle loses none of them, so windows begin at a shared shingle or end with
@@ -12,6 +12,8 @@ shingle over the sum of the larger ones.
    ``radius // blocks`` in every block, so looking up each block with that tolerance guarantees to
    find every item within ``radius`` bits.
 4. Candidates with as many words are verified by the exact similarity.
+5. A document shorter than an item is verified as a whole, without fingerprints, if enough of its
+   shingles stand in the item: their number is never below the sum of the smaller counts.
 
 Windows of the threshold's similarity differ in about ten of 64 bits; 20 is more than three
 deviations beyond.  Items are a query set: they come in blocks of at most ``ITEMS`` to all tasks
@@ -159,6 +161,7 @@ class Index:
             at = np.repeat(maybe, many)
             item = items[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
             sizes = np.array(self.sizes)[item]
+            self._compare_whole(shingles, item[sizes > len(words)], threshold, best)
             # a window past the end is replaced by the last one of its size
             start = np.minimum(at, len(words) - sizes)
             windows = np.unique(np.column_stack([sizes, start])[start >= 0], axis=0)
@@ -166,7 +169,7 @@ class Index:
                 starts = windows[windows[:, 0] == size, 1]
                 for i in range(0, len(starts), 2048):
                     self._compare(shingles, width, int(size), starts[i : i + 2048], threshold, best)
-        return [(i, s, at, self.sizes[i]) for i, (s, at) in sorted(best.items())]
+        return [(i, s, at, min(self.sizes[i], len(words))) for i, (s, at) in sorted(best.items())]
 
     def _compare(self, shingles, width, size, starts, threshold, best) -> None:
         rows = shingles[starts[:, None] + np.arange(size - width + 1)]
@@ -183,6 +186,18 @@ class Index:
                 best[item] = found, int(starts[row])
 
 
+    def _compare_whole(self, shingles, longer, threshold, best) -> None:
+        """The whole document against the longer items of its shingles, one entry per shingle."""
+        items, shared = np.unique(longer, return_counts=True)
+        for item, most in zip(items.tolist(), shared.tolist()):
+            # rounding must not leave out a similarity of exactly the threshold
+            if most < threshold * len(self.shingles[item]) - 1e-6:
+                continue
+            found = similarity(shingles, self.shingles[item])
+            if found >= threshold:
+                best[item] = found, 0
+
+
 def _matcher(index: Index, threshold: float):
     def run(texts: pa.Array) -> pa.Array:
         if not hasattr(index, "blocks"):

@@ -144,6 +144,36 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.contaminated(nothing, items).count() == 0
 
 
+def test_decontamination_of_documents_shorter_than_an_item(spark):
+    """All pairs by brute force: the best window, or the whole document if the item is longer."""
+    long, tail, loop, small = words(100, 91).split(), words(30, 92).split(), ["ab", "cd"] * 30, words(9, 93).split()
+    items = {10: long, 11: long[:60] + tail, 12: loop, 13: small, 14: ["only", "three", "words"], 15: small[:6]}
+    given = [long[:n] for n in (99, 90, 82, 81, 80, 70, 4)] + [long[1:], long[5:95], long[:50] + long[51:]]
+    given += [tail + long[:60], long[:60] + tail[:-1], loop[:-1], loop[:50], loop[:40], small[1:], small[:7], ["only", "three"], []]
+    given += [long + tail, tail[:20] + long[:99]]
+
+    def shingled(w, k):
+        return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    want = set()
+    for d, w in enumerate(given):
+        for i, item in items.items():
+            k, n = min(5, len(item)), min(len(item), len(w))
+            pairs = [(shingled(w[at : at + n], k), shingled(item, k)) for at in range(len(w) - n + 1)]
+            top = max(sum((a & b).values()) / sum((a | b).values()) for a, b in pairs)
+            if top >= 0.8:
+                want.add((d, i, top, n))
+    rows = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(given)], "doc_id int, text string")
+    listed = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id int, text string")
+    for size in (1, 2000):
+        found = decontaminate.contaminated(rows, listed, size=size).collect()
+        assert len(found) == len(want) and {(r.doc_id, r.item_id, r.similarity, r.n_words) for r in found} == want
+        assert all(r.start_word == 0 for r in found if r.n_words < len(items[r.item_id]))
+        kept = {r.doc_id for r in decontaminate.remove(rows, listed, size=size).collect()}
+        assert kept == set(range(len(given))) - {d for d, *_ in want}
+    assert {(0, 10), (7, 10), (9, 10), (11, 11), (12, 12)} <= {(d, i) for d, i, *_ in want}
+
+
 def test_line_dedup(spark, docs, nothing):
     rows = [(i, f"own {i}\nshared\n\n few" if i < 4 else f"own {i}\nshared ", f"s{i}") for i in range(40)]
     given = spark.createDataFrame([*rows, (99, None, "s"), (98, "", None)], "doc_id bigint, text string, source string")
