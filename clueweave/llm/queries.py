@@ -15,6 +15,7 @@ from clueweave.llm import (
     quality,
     simhash_dedup,
     substring_dedup,
+    token_alignment,
     token_store,
 )
 from clueweave.llm.common import table, two_hashes
@@ -158,3 +159,14 @@ def op10_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.read_store(
         token_store.write_store(docs, default_path("word_bpe_49k.json"), "space", end_id=2)
     )
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups, links and corpus-wide counts of linked ids of two tokenizers."""
+    aligned = token_alignment.alignments(
+        table(spark, folder, "documents"),
+        default_path("byte_bpe_50k.json"),
+        default_path("piece_bpe_32k.model"),
+    )
+    return token_alignment.link_report(aligned)
