@@ -14,6 +14,7 @@ from clueweave.llm import (
     packing,
     quality,
     simhash_dedup,
+    spelling_variants,
     substring_dedup,
     token_alignment,
     token_store,
@@ -29,6 +30,8 @@ MIN_SITES = 10
 LONGEST_SEQUENCE = 1024
 #: SimHash near-dedup: words of a shingle, and bits that linked fingerprints may differ in.
 SHINGLE_WORDS, RADIUS = 4, 4
+#: One word in so many loses a letter before variants are grouped.
+MISSPELT = 199
 
 
 def query(name: str, oracle: str | None = None):
@@ -161,6 +164,15 @@ def op10_token_store(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op12_spelling_variants", spelling_variants.SQL)
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Near words, forms and roots of the frequent words of all documents."""
+    runs = spelling_variants.runs(table(spark, folder, "documents").select("doc_id", "text"))
+    spelt = spelling_variants.misspelt(F.col("doc_id"), F.col("run"), MISSPELT)
+    words = spelling_variants.vocabulary(runs.select(spelt.alias("word")))
+    return spelling_variants.variants(words)
+
+
 @query("op13_token_alignment")
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Groups, links and corpus-wide counts of linked ids of two tokenizers."""
