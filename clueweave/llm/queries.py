@@ -176,9 +176,8 @@ def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_token_alignment")
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Groups, links and corpus-wide counts of linked ids of two tokenizers."""
-    aligned = token_alignment.alignments(
+    return token_alignment.link_report(
         table(spark, folder, "documents"),
         default_path("byte_bpe_50k.json"),
         default_path("piece_bpe_32k.model"),
     )
-    return token_alignment.link_report(aligned)

@@ -41,7 +41,6 @@ from clueweave.session import written
 CHUNK_TOKENS = 1 << 20
 #: Groups with more token pairs than this are paired by distinct ids, not by occurrence.
 _LARGE_GROUP = 1 << 12
-_ROWS = 512
 
 
 @dataclass
@@ -120,7 +119,7 @@ class Aligner:
 
     def align(self, texts: list[str | None]) -> Iterator[Alignment]:
         given = [t or "" for t in texts]
-        for text, a, b in zip(given, self.a.ids([" " + t for t in given]), self.b.encode(given)):
+        for text, a, b in zip(given, self.a.ids([" " + t for t in given]), self.b.encode(given, num_threads=1)):
             if not text:
                 yield NO_TOKENS
                 continue
@@ -155,20 +154,27 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     fields = ("a_ids", "b_ids", "a_sizes", "b_sizes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for texts in texts_of(batch.column(1), 1 << 20):
-                found = list(aligner(byte_level, pieces).align(texts))
-                columns = [batch.column(0).slice(at, len(found))]
-                columns += [_lists([getattr(f, name) for f in found]) for name in fields]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *fields])
-                at += len(found)
+        for keys, found in _aligned(batches, byte_level, pieces):
+            columns = [keys, *(_lists([getattr(f, name) for f in found]) for name in fields)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *fields])
 
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, " + ", ".join(f"{name} array<int>" for name in fields)
     )
 
 
+def _aligned(
+    batches: Iterator[pa.RecordBatch], byte_level: str, pieces: str
+) -> Iterator[tuple[pa.Array, list[Alignment]]]:
+    """Ids and alignments of the documents of a task, about 256 kB of text at a time."""
+    for batch in batches:
+        at = 0
+        for texts in texts_of(batch.column(1), 1 << 18):
+            found = list(aligner(byte_level, pieces).align(texts))
+            yield batch.column(0).slice(at, len(found)), found
+            at += len(found)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)])
     return pa.ListArray.from_arrays(
@@ -176,10 +182,6 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     )
 
 
-def _numbers(column: pa.Array, row: int) -> np.ndarray:
-    return column[row].values.to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def group_text(found: Alignment) -> bytes:
     """``a1,a2|b1;a3|b2,b3``: the decimal ids of every group in order."""
     return _group_text(found, 1 + max(found.a_ids.max(initial=0), found.b_ids.max(initial=0)))
@@ -241,20 +243,19 @@ _CHUNK = (
 )
 
 
-def _chunks(kind: pa.DataType):
+def _chunks(kind: pa.DataType, byte_level: str, pieces: str):
     """Chunks of aligned documents: the distinct id pairs and, per document, which it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         docs, pairs, counts, tokens = [], [], [], 0
-        for batch in batches:
-            for row in range(batch.num_rows):
-                found = Alignment(*(_numbers(batch.column(c), row) for c in (1, 2, 3, 4)))
+        for keys, some in _aligned(batches, byte_level, pieces):
+            for key, found in zip(keys.to_pylist(), some):
                 text = group_text(found)
                 held, times = _merged(*linked(found))
                 docs.append(
                     {
-                        "doc_id": batch.column(0)[row].as_py(),
+                        "doc_id": key,
                         "n_a": len(found.a_ids),
                         "n_b": len(found.b_ids),
                         "n_groups": len(found.a_sizes),
@@ -300,16 +301,18 @@ def _chunk(number, docs, pairs, counts, kind) -> pa.RecordBatch:
     )
 
 
-def link_report(aligned: DataFrame) -> DataFrame:
-    """Per document of ``alignments``: numbers, digest of the groups, and corpus counts of links.
+def link_report(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
+    """Per document: numbers and digest of its ``alignments``, and corpus counts of its links.
 
     ``n_best`` links have the highest count among the pairs of their id of A; ``count_sum`` adds
-    the counts of all links.
+    the counts of all links.  The alignments are digested in the task that makes them.
     """
-    spark = aligned.sparkSession
-    kind = aligned.schema["doc_id"].dataType
-    schema = _CHUNK.format(kind=kind.simpleString())
-    chunks = written(aligned.mapInArrow(_chunks(to_arrow_type(kind)), schema), "aligned")
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType
+    chunked = docs.select("doc_id", "text").mapInArrow(
+        _chunks(to_arrow_type(kind), byte_level, pieces), _CHUNK.format(kind=kind.simpleString())
+    )
+    chunks = written(chunked, "aligned")
     asked = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "holders")).alias("place", "p"))
     asked = asked.select("chunk", "place", F.col("p.pairs").alias("pair"), F.col("p.holders").alias("n"))
     counts = written(asked.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
