@@ -18,6 +18,7 @@ from clueweave.llm import (
     substring_dedup,
     token_alignment,
     token_store,
+    toxicity,
 )
 from clueweave.llm.common import table, two_hashes
 from clueweave.llm.encode import default_path
@@ -164,6 +165,19 @@ def op10_token_store(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op11_toxicity")
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    scored = docs.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        toxicity.score(model, F.col("text")).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 @query("op12_spelling_variants", spelling_variants.SQL)
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Near words, forms and roots of the frequent words of all documents."""
