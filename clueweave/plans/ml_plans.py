@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from clueweave.functions import text as T
@@ -419,8 +418,7 @@ def column_stats(spark, folder):
 @query("pca_embeddings")
 def pca_embeddings(spark, folder):
     scored, _, _ = A.pca(V.table(spark, folder, "embeddings"), "embedding", 2)
-    scores = vector_to_array("scores")
-    return scored.select("vec_id", scores[0].alias("pc1"), scores[1].alias("pc2"))
+    return scored.select("vec_id", F.round(F.col("scores")[0], 4).alias("pc1"), F.round(F.col("scores")[1], 4).alias("pc2"))
 
 
 @query("ppca_embeddings")

@@ -149,7 +149,7 @@ def test_column_stats(spark):
 def test_ppca_complete_rows_match_pca(spark):
     y, _ = low_rank(0.0)
     df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(y)], "id bigint, y array<double>").repartition(4)
-    fitted = A.ppca(df, "id", "y", k=2, flush=3)
+    fitted = A.ppca(df, "id", "y", k=2)
     values, vectors = np.linalg.eigh(np.cov(y.T))
     top = vectors[:, np.argsort(values)[::-1][:2]]
     assert np.allclose(np.abs(np.sum(top * fitted.loadings, axis=0)), 1, atol=1e-2)
@@ -159,10 +159,40 @@ def test_ppca_complete_rows_match_pca(spark):
     assert abs(fitted.percent.sum() - 100 * shares.sum()) < 1
 
 
+def plain_rounds(y, holes, rounds, k=2, seed=11):
+    """The original rounds: rows remember their scores, hidden cells follow them one round behind."""
+    hidden_mean = np.nanmean(np.where(holes, np.nan, y), axis=0)
+    y = np.where(holes, 0.0, y - hidden_mean)
+    (n, d), missing = y.shape, holes.sum()
+    c = np.random.default_rng(seed).standard_normal((d, k))
+    x = y @ c @ np.linalg.inv(c.T @ c)
+    noise = (np.where(holes, 0.0, x @ c.T - y) ** 2).sum() / (n * d - missing)
+    for _ in range(rounds):
+        sx = np.linalg.inv(np.eye(k) + c.T @ c / noise)
+        filled = np.where(holes, x @ c.T, y)
+        x = filled @ c @ sx / noise
+        c = filled.T @ x @ np.linalg.inv(x.T @ x + n * sx)
+        noise = (((filled - x @ c.T) ** 2).sum() + n * np.sum(c.T @ c * sx) + missing * noise) / (n * d)
+    return c, noise
+
+
+def test_extrapolation_reaches_the_fixed_point_of_a_slow_map():
+    slow = np.array([0.999, 0.99, 0.5])
+    point, faster = np.array([5.0, -3.0, 2.0]), A.Extrapolation()
+    for _ in range(12):
+        point = faster.after(point, slow * point + 1 - slow, float(((point - 1) ** 2).sum()))
+    assert np.allclose(point, 1, atol=1e-5)
+
+
 def test_ppca_fills_missing_cells(spark):
     y, holes = low_rank(0.1)
     rows = [(i, [None if h else float(v) for v, h in zip(row, hole)]) for i, (row, hole) in enumerate(zip(y, holes))]
-    fitted = A.ppca(spark.createDataFrame(rows, "id bigint, y array<double>"), "id", "y", k=2, threshold=1e-7, flush=4)
+    fitted = A.ppca(spark.createDataFrame(rows, "id bigint, y array<double>"), "id", "y", k=2, threshold=1e-7)
+    assert fitted.rounds <= 60
+    loadings, noise = plain_rounds(y, holes, 4000)
+    basis = np.linalg.qr(loadings)[0]
+    assert np.allclose(basis @ basis.T, fitted.loadings @ fitted.loadings.T, atol=1e-4)
+    assert np.isclose(noise, fitted.noise, rtol=1e-4)
     filled = np.array([r.y for r in fitted.completed.orderBy("id").collect()])
     assert np.allclose(filled[~holes], y[~holes])
     assert np.abs(filled - y)[holes].mean() < 0.3 * np.abs(y - y.mean(0))[holes].mean()
