@@ -11,7 +11,7 @@ from clueweave.plans import sqlparts as P
 from clueweave.plans import standins as V
 from clueweave.plans.registry import query
 from clueweave.session import fresh_path, spread
-from clueweave.sources import bag_text, matrix, records
+from clueweave.sources import bag_text, matrix, ranges, records
 
 
 def text_entries(spark, folder):
@@ -51,12 +51,20 @@ def json_arrays(spark, folder):
 
 @query("json_nested_arrays", ENTRIES)
 def json_nested_arrays(spark, folder):
-    """The same with arrays in arrays."""
+    """The same with arrays in arrays, none to five levels deeper."""
     path = fresh_path(spark, "entry-nests")
-    records.write_arrays(text_entries(spark, folder), path, nested=True)
+    records.write_arrays(text_entries(spark, folder), path, max_bytes=4 << 20, nested=5)
     return opened(records.read_nested_entries(spark, path))
 
 
+@query("json_split_scan", ENTRIES)
+def json_split_scan(spark, folder):
+    """Large array files of mixed depth, read in byte ranges by as many tasks."""
+    path = fresh_path(spark, "entry-ranges")
+    records.write_arrays(text_entries(spark, folder), path, per_file=1 << 30, nested=3, codec="none")
+    return opened(ranges.read_json_records(spark, path, records.ENTRY, range_bytes=1 << 20))
+
+
 PLACES = """SELECT l_partkey AS wid_from, l_suppkey AS wid_to, sum(l_quantity)::DOUBLE AS weight
             FROM lineitem GROUP BY ALL"""
 
@@ -148,6 +156,21 @@ def xml_pages(spark, folder):
     return records.read_pages(spark, path)
 
 
+@query("xml_split_pages", "SELECT url AS title, html AS text FROM pages WHERE page_id % 3 <> 1")
+def xml_split_pages(spark, folder):
+    """The same kind of dump as compressed text, split inside its files."""
+    path = fresh_path(spark, "split-dump")
+    escaped = F.replace(F.replace("html", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(
+        F.lit("  <page>\n    <title>"), F.replace("url", F.lit("&"), F.lit("&amp;")),
+        F.lit("</title>\n    <ns>"), (F.col("page_id") % 3 == 1).cast("int"),
+        F.lit('</ns>\n    <revision><text xml:space="preserve">'), escaped,
+        F.lit("</text></revision>\n  </page>"),
+    )
+    V.table(spark, folder, "pages").select(page.alias("value")).write.text(path, compression="bzip2")
+    return ranges.read_split_pages(spark, path)
+
+
 @query(
     "stored_dictionary",
     P.with_(*P.V1, P.DICTIONARY) + "SELECT wid, word FROM dictionary",

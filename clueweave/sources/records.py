@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clueweave.session import written
+
 ENTRIES_PER_FILE = 1000
 BYTES_PER_FILE = 64 << 20
 
@@ -76,11 +78,35 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).json(path)
 
 
+def nested_objects(rows: DataFrame, column: str) -> DataFrame:
+    """``value`` (VARIANT): the objects in the JSON texts of ``column``, at any depth of arrays.
+
+    Each round takes one level of arrays apart and stores what it gives, so the plan does not grow
+    with the depth; rounds go on while arrays are left.  Numbers, strings and nulls inside arrays
+    are no records, nor are texts that are not JSON.
+    """
+    level = written(rows.select(F.try_parse_json(column).alias("value")), "nested")
+    found = None
+    while True:
+        kind = F.schema_of_variant("value")
+        objects = level.where(F.startswith(kind, F.lit("OBJECT")))
+        found = objects if found is None else found.union(objects)
+        arrays = level.where(F.startswith(kind, F.lit("ARRAY"))).withColumnRenamed("value", "items")
+        if arrays.isEmpty():
+            return found
+        inner = arrays.sparkSession.tvf.variant_explode(F.col("items").outer())
+        level = written(arrays.lateralJoin(inner).select("value"), "nested")
+
+
 def read_nested_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of files whose arrays are nested in arrays (flattened two levels down)."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    deep = F.from_json("value", T.ArrayType(T.ArrayType(ENTRY)))
-    return text.select(F.inline(F.flatten(deep)))
+    """Entries of files whose arrays are nested in arrays, to any depth.
+
+    A file is one value here; :func:`clueweave.sources.ranges.read_json_records` reads files that
+    are too large for that.
+    """
+    text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    entry = F.try_variant_get("value", "$", ENTRY.simpleString())
+    return nested_objects(text, "value").select(entry.alias("e")).select("e.*")
 
 
 def write_json(
@@ -92,24 +118,24 @@ def write_json(
 
 def write_arrays(
     records: DataFrame, path: str, per_file: int = ENTRIES_PER_FILE,
-    max_bytes: int = BYTES_PER_FILE, nested: bool = False, codec: str = "bzip2",
+    max_bytes: int = BYTES_PER_FILE, nested: int = 0, codec: str = "bzip2",
 ) -> None:
     """Array files of at most ``per_file`` records and ``max_bytes`` bytes (a larger record stands
-    alone); ``nested`` puts the array into another one."""
-    begin, end = ("[[", "]]") if nested else ("[", "]")
+    alone); record ``i`` of a file lies ``i % (nested + 1)`` arrays deeper than the first."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for batch in batches:
             for value in batch["value"]:
-                n = len(value.encode()) + 1
+                n = len(value.encode()) + 1 + 2 * nested
                 if held and (len(held) == per_file or size + n > max_bytes):
-                    yield pd.DataFrame({"value": [begin + ",".join(held) + end]})
+                    yield pd.DataFrame({"value": ["[" + ",".join(held) + "]"]})
                     held, size = [], 0
-                held.append(value)
+                deeper = len(held) % (nested + 1)
+                held.append("[" * deeper + value + "]" * deeper)
                 size += n
         if held:
-            yield pd.DataFrame({"value": [begin + ",".join(held) + end]})
+            yield pd.DataFrame({"value": ["[" + ",".join(held) + "]"]})
 
     lines = records.select(F.to_json(F.struct("*")).alias("value"))
     arrays = lines.mapInPandas(pack, "value string")

@@ -2,6 +2,8 @@
 
 import bz2
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from clueweave.operators import bags as B
 from clueweave.operators import dictionary as D
 from clueweave.operators import puzzles as Z
-from clueweave.sources import bag_text, matrix, records
+from clueweave.sources import bag_text, matrix, ranges, records
 
 MINIMAL = {"title": "Mini", "author": "A", "words": [{"word": "CAT", "clue": "pet", "x": 0, "y": 0, "dir": "East"}]}
 FULL = {
@@ -139,3 +141,81 @@ def test_normalised_store(spark, puzzle_dir, tmp_path):
     assert back["items"].count() == 5 and back["words"].count() == 3
     assert {r.category for r in back["categories"].collect()} == {"cryptic", "straight"}
     assert back["items"].join(back["words"], "wid", "left_anti").count() == 0
+
+
+def nested(rng, record, depth):
+    text = json.dumps(record, ensure_ascii=rng.random() < 0.5, indent=rng.choice((None, 2)))
+    return "[" * depth + text + "]" * depth
+
+
+def hostile_records(n=300):
+    rng = random.Random(2)
+    strange = ['plain', 'a "quoted" word', "braces {{ }", '}{"', "back\\slash\\\\", '\\"', "", "é日\n", "[", "],["]
+    return rng, [{"word": f"{rng.choice(strange)}{i}", "definitions": rng.sample(strange, rng.randrange(4))} for i in range(n)]
+
+
+@pytest.mark.parametrize("size", [7, 64, 1000, 1 << 20])
+def test_ranges_give_every_record_once(size):
+    rng, made = hostile_records(60)
+    text = ("[" + ", ".join(nested(rng, r, i % 6) for i, r in enumerate(made)) + "]\n" + json.dumps(made[0])).encode()
+    found, inside, depth = [], 0, 0
+    for begin in range(0, len(text), size):
+        before = text[:begin]
+        escapes = len(before) - len(before.rstrip(b"\\"))
+        blocks = [text[i : i + 11] for i in range(begin, len(text), 11)]
+        found += [json.loads(r) for r in ranges.cut(blocks, size, inside, depth, escapes)]
+        part = text[begin : begin + size]
+        turns, outside_opened, inside_opened = ranges.summary([part[i : i + 5] for i in range(0, len(part), 5)], escapes)
+        depth += inside_opened if inside else outside_opened
+        inside ^= turns
+    assert found == made + made[:1] and (inside, depth) == (0, 0)
+
+
+def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
+    rng, made = hostile_records()
+    (tmp_path / "big.json").write_text("[" + ",\n".join(nested(rng, r, i % 6) for i, r in enumerate(made)) + "]", encoding="utf-8")
+    (tmp_path / "one.json").write_text(json.dumps(made[0]))
+    (tmp_path / "empty.json").write_text("")
+    size = (tmp_path / "big.json").stat().st_size
+    read = ranges.read_json_records(spark, str(tmp_path), records.ENTRY, range_bytes=size // 12)
+    assert ranges.planned(spark, str(tmp_path), size // 12).where("path LIKE '%big.json'").count() >= 12
+    got = Counter((r.word, tuple(r.definitions)) for r in read.collect())
+    assert got == Counter((m["word"], tuple(m["definitions"])) for m in [*made, made[0]])
+    used = read.select(F.spark_partition_id().alias("p"), "word").groupBy("p").count().count()
+    assert used >= 6
+
+
+def test_compressed_file_is_one_range(spark, tmp_path):
+    _, made = hostile_records(40)
+    (tmp_path / "a.json.bz2").write_bytes(bz2.compress(json.dumps([[made]]).encode()))
+    got = ranges.read_json_records(spark, str(tmp_path), records.ENTRY, range_bytes=50)
+    assert sorted(r.word for r in got.collect()) == sorted(m["word"] for m in made)
+
+
+def test_nested_entries_of_mixed_depth(spark, tmp_path):
+    rng, made = hostile_records(50)
+    (tmp_path / "a.json").write_text("[" + ",".join(nested(rng, r, i % 6) for i, r in enumerate(made)) + ", 3, null, \"x\", [[]]]")
+    (tmp_path / "b.json").write_text(json.dumps(made[1]))
+    (tmp_path / "c.json").write_text("not json")
+    got = Counter((r.word, tuple(r.definitions)) for r in records.read_nested_entries(spark, str(tmp_path)).collect())
+    assert got == Counter((m["word"], tuple(m["definitions"])) for m in [*made, made[1]])
+
+
+@pytest.mark.parametrize("codec", ["none", "bz2"])
+def test_dump_pages_are_split_inside_files(spark, tmp_path, codec):
+    rng = random.Random(1)
+    pages = [(f"T {i}", i % 3, "".join(rng.choice("ab<&\n é") for _ in range(rng.randrange(2000)))) for i in range(900)]
+    body = "".join(
+        f'<page><title>{t}</title><ns>{n}</ns><revision><text xml:space="preserve">{x.replace("&", "&amp;").replace("<", "&lt;")}</text></revision></page>\n'
+        for t, n, x in pages
+    )
+    data = f"<mediawiki>\n{body}</mediawiki>".encode()
+    (tmp_path / ("d.xml" + (".bz2" if codec == "bz2" else ""))).write_bytes(bz2.compress(data, 1) if codec == "bz2" else data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(40_000))
+    try:
+        read = ranges.read_split_pages(spark, str(tmp_path))
+        got = read.select(F.spark_partition_id().alias("p"), "title", "text").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.title, r.text) for r in got) == sorted((t, x) for t, n, x in pages if n == 0)
+    assert len({r.p for r in got}) >= (4 if codec == "bz2" else 8)
