@@ -15,23 +15,16 @@ def vocabulary(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     return edges.select(F.col(src).alias("word")).union(edges.select(dst)).distinct()
 
 
-def build(words: DataFrame, column: str = "word") -> DataFrame:
-    """``(wid, word)``: dense 0-based ids of the distinct words in alphabetical order.
+def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``rows`` with dense 0-based numbers ``name`` in the order of the columns ``by``.
 
-    The words are range-partitioned and sorted once; a word's id is its row number inside
-    its range plus the size of the ranges before it.  Only one count per range takes part
-    in the running sum, so no task ever sees the whole vocabulary.  The sorted ranges are
-    written first because a re-run of the range sampling could draw other borders.
+    The rows are range-partitioned and sorted once; a row's number is its place inside its range
+    plus the size of the ranges before it.  Only one count per range takes part in the running sum,
+    so no task ever sees all rows.  The sorted ranges are written first because a re-run of the
+    range sampling could draw other borders.
     """
-    ranges = (
-        words.select(F.col(column).alias("word"))
-        .where(F.col("word").isNotNull())
-        .distinct()
-        .repartitionByRange("word")
-        .sortWithinPartitions("word")
-        .withColumn("slot", F.monotonically_increasing_id())
-    )
-    placed = written(ranges, "dictionary").withColumn("range", F.shiftright("slot", _ROW_BITS))
+    ranges = unique_ids(rows.repartitionByRange(*by).sortWithinPartitions(*by), "slot")
+    placed = written(ranges, "numbered").withColumn("range", F.shiftright("slot", _ROW_BITS))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     # one row per range: bounded by the number of shuffle partitions
     offsets = (
@@ -39,9 +32,14 @@ def build(words: DataFrame, column: str = "word") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
-    return placed.join(F.broadcast(offsets), "range").select(
-        (F.col("offset") + F.col("slot").bitwiseAND((1 << _ROW_BITS) - 1)).alias("wid"), "word"
-    )
+    number = F.col("offset") + F.col("slot").bitwiseAND((1 << _ROW_BITS) - 1)
+    return placed.join(F.broadcast(offsets), "range").withColumn(name, number).drop("range", "slot", "offset")
+
+
+def build(words: DataFrame, column: str = "word") -> DataFrame:
+    """``(wid, word)``: dense 0-based ids of the distinct words in alphabetical order."""
+    distinct = words.select(F.col(column).alias("word")).where(F.col("word").isNotNull()).distinct()
+    return numbered(distinct, ["word"], "wid").select("wid", "word")
 
 
 def get_id(words: DataFrame, dictionary: DataFrame) -> DataFrame:

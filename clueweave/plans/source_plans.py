@@ -11,7 +11,7 @@ from clueweave.plans import sqlparts as P
 from clueweave.plans import standins as V
 from clueweave.plans.registry import query
 from clueweave.session import fresh_path, spread
-from clueweave.sources import bag_text, matrix, ranges, records
+from clueweave.sources import bag_text, matrix, ranges, records, store
 
 
 def text_entries(spark, folder):
@@ -65,6 +65,66 @@ def json_split_scan(spark, folder):
     return opened(ranges.read_json_records(spark, path, records.ENTRY, range_bytes=1 << 20))
 
 
+STORE = """puzzle AS (SELECT doc_id, source, lang, text, doc_id::VARCHAR AS url, doc_id % 3 = 0 AS late FROM documents),
+  lines AS (SELECT doc_id, url, late, unnest(string_split(text, chr(10))) AS line,
+                   unnest(range(len(string_split(text, chr(10))))) AS i FROM puzzle),
+  placed AS (SELECT doc_id, late, split_part(line, ' ', 1) AS word, regexp_replace(line, '^[^ ]* ?', '') AS clue,
+                    CAST(i % 15 AS INTEGER) AS x, CAST(i // 15 AS INTEGER) AS y,
+                    CASE WHEN i % 2 = 0 THEN 'East' ELSE 'South' END AS dir FROM lines),
+  puzzle_ids AS (SELECT doc_id, row_number() OVER (ORDER BY late, url) - 1 AS cwid FROM puzzle),
+  word_ids AS (SELECT word, row_number() OVER (ORDER BY late, word) - 1 AS wid
+               FROM (SELECT word, bool_and(late) AS late FROM placed GROUP BY word))"""
+
+
+def store_of_documents(spark, folder):
+    """Documents in two batches that share a third of the rows; the second also repeats some."""
+    docs = spread(V.table(spark, folder, "documents"))
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda line, i: F.struct(
+            F.substring_index(line, " ", 1).alias("word"),
+            F.regexp_replace(line, "^[^ ]* ?", "").alias("clue"),
+            (i % 15).cast("int").alias("x"),
+            F.floor(i / 15).cast("int").alias("y"),
+            F.when(i % 2 == 0, "East").otherwise("South").alias("dir"),
+        ),
+    )
+    nothing = F.lit(None).cast("string")
+    puzzles = docs.select(
+        "source", F.col("lang").alias("language"), nothing.alias("title"), F.col("doc_id").cast("string").alias("url"),
+        nothing.alias("date"), nothing.alias("author"), F.array("lang", "source", F.lit("")).alias("categories"),
+        lines.alias("words"),
+    )
+    third = F.col("url").cast("bigint") % 3
+    path = fresh_path(spark, "growing")
+    store.append(spark, path, puzzles.where(third != 0), key=("url",))
+    second = puzzles.where(third != 1)
+    store.append(spark, path, second.union(second.where(F.col("url").cast("bigint") % 5 == 0)), key=("url",))
+    return store.load(spark, path)
+
+
+@query(
+    "store_items",
+    f"""WITH {STORE} SELECT DISTINCT cwid, wid, word, x, y, clue, dir
+        FROM placed JOIN puzzle_ids USING (doc_id) JOIN word_ids USING (word)""",
+)
+def store_items(spark, folder):
+    """Items and words of a store that grew in two batches."""
+    tables = store_of_documents(spark, folder)
+    return tables["items"].join(tables["words"], "wid").select("cwid", "wid", "word", "x", "y", "clue", "dir")
+
+
+@query(
+    "store_puzzles",
+    f"""WITH {STORE} SELECT DISTINCT cwid, url, source, lang AS language, unnest([lang, source]) AS category
+        FROM puzzle JOIN puzzle_ids USING (doc_id)""",
+)
+def store_puzzles(spark, folder):
+    """Puzzles and categories of the same store."""
+    tables = store_of_documents(spark, folder)
+    return tables["puzzles"].join(tables["categories"], "cwid").select("cwid", "url", "source", "language", "category")
+
+
 PLACES = """SELECT l_partkey AS wid_from, l_suppkey AS wid_to, sum(l_quantity)::DOUBLE AS weight
             FROM lineitem GROUP BY ALL"""
 

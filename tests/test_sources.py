@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clueweave.operators import bags as B
 from clueweave.operators import dictionary as D
 from clueweave.operators import puzzles as Z
-from clueweave.sources import bag_text, matrix, ranges, records
+from clueweave.sources import bag_text, matrix, ranges, records, store
 
 MINIMAL = {"title": "Mini", "author": "A", "words": [{"word": "CAT", "clue": "pet", "x": 0, "y": 0, "dir": "East"}]}
 FULL = {
@@ -219,3 +219,45 @@ def test_dump_pages_are_split_inside_files(spark, tmp_path, codec):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted((r.title, r.text) for r in got) == sorted((t, x) for t, n, x in pages if n == 0)
     assert len({r.p for r in got}) >= (4 if codec == "bz2" else 8)
+
+
+def puzzle(url, words, **more):
+    return {"source": "S", "url": url, "date": None, "categories": ["a", "", "a"], **more,
+            "words": [{"word": w, "clue": f"{w}?", "x": i, "y": 0, "dir": "East"} for i, w in enumerate(words)]}
+
+
+def test_store_grows_in_batches(spark, tmp_path):
+    def batch(rows):
+        return spark.createDataFrame([json.dumps(r) for r in rows], "string").select(
+            F.from_json("value", records.PUZZLE.simpleString().replace("categories:string", "categories:array<string>")).alias("r")
+        ).select("r.*")
+
+    first = [puzzle("u1", ["CAT", "DOG", None]), puzzle("u2", ["EEL"], author="x"), puzzle("u1", ["CAT", "DOG", None])]
+    second = [puzzle("u0", ["ANT", "EEL", "FOX"]), puzzle("u2", ["NEW"]), puzzle(None, []), puzzle(None, [])]
+    path = str(tmp_path / "store")
+    assert all(t.count() == 0 for t in store.load(spark, path).values())
+    assert store.append(spark, path, batch(first)) == 1
+    before = {n: {tuple(r) for r in t.collect()} for n, t in store.load(spark, path).items()}
+    assert {r[1]: r[0] for r in before["words"]} == {"CAT": 0, "DOG": 1, "EEL": 2}
+    (tmp_path / "store" / "data" / "words-9-left-behind").mkdir()  # by a failed append
+    assert store.append(spark, path, batch(second)) == 2 and store.append(spark, path, batch(second)) == 3
+    after = store.load(spark, path)
+    assert all(before[n] <= {tuple(r) for r in t.collect()} for n, t in after.items())
+    assert {r.word: r.wid for r in after["words"].collect()} == {"CAT": 0, "DOG": 1, "EEL": 2, "ANT": 3, "FOX": 4}
+    assert {r.url: r.cwid for r in after["puzzles"].collect()} == {"u1": 0, "u2": 1, None: 2, "u0": 3}
+    placed = after["items"].join(after["words"], "wid").join(after["puzzles"], "cwid")
+    got = sorted((r.url, r.word, r.x, r.clue) for r in placed.collect())
+    assert got == sorted([("u1", "CAT", 0, "CAT?"), ("u1", "DOG", 1, "DOG?"), ("u2", "EEL", 0, "EEL?"),
+                          ("u0", "ANT", 0, "ANT?"), ("u0", "EEL", 1, "EEL?"), ("u0", "FOX", 2, "FOX?")])
+    assert after["categories"].count() == 4
+    # one batch of everything has the same content
+    other = str(tmp_path / "other")
+    store.append(spark, other, batch([*first, *second]))
+    assert store.load(spark, other)["items"].count() in (6, 7)
+
+
+def test_store_refuses_a_claimed_version(spark, tmp_path):
+    (tmp_path / "manifest" / "v000001").mkdir(parents=True)
+    rows = spark.createDataFrame([], records.PUZZLE).withColumn("categories", F.array("categories"))
+    with pytest.raises(Exception, match="already exists"):
+        store.append(spark, str(tmp_path), rows)
