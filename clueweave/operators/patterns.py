@@ -33,29 +33,43 @@ def _masked(word, shape):
     )
 
 
-def _each_length(words, name, marks=0):
-    """Every word once per length up to its own, so "at least n long" is an equi-join."""
-    reach = F.sequence(F.lit(0), F.length("word") + marks)
-    return words.select("word", F.explode(reach).alias(name))
+def _split(patterns: DataFrame) -> DataFrame:
+    """Distinct tidy patterns with their number of letters."""
+    tidy = patterns.select(P.tidy(F.col("pattern")).alias("pattern")).where(F.col("pattern") != "").distinct()
+    return tidy.withColumn("letters", F.length(F.regexp_replace("pattern", "[*?]", "")))
 
 
 def match_patterns(words: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``(pattern, word)`` for a table of patterns, as hash joins instead of a regex scan.
+    """``(pattern, word)`` of every match for a table of patterns.
+
+    Patterns without any letter match every word that is long enough; ask ``first_matches`` where a
+    few words per pattern are wanted.
+    """
+    distinct = _split(patterns)
+    words = words.select("word").distinct()
+    bare = distinct.where(F.col("letters") == 0).withColumn(
+        "least", F.length(F.replace("pattern", F.lit("*"), F.lit("")))
+    )
+    # every word once per length up to its own, so "at least so long" is an equi-join
+    reach = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("least"))
+    open_end = F.contains("pattern", F.lit("*")) | (F.col("least") == F.length("word"))
+    long_enough = bare.join(reach, "least").where(open_end).select("pattern", "word")
+    return _match_letters(words, distinct).unionByName(long_enough)
+
+
+def _match_letters(words: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Matches of distinct patterns that have a letter, as hash joins instead of a regex scan.
 
     Without ``*`` a pattern fixes the length and some places.  All patterns with the same
     places share a *shape*; each word is masked once per shape of its length, and masked
     word = pattern is then an equi-join that only yields true matches.
 
-    With ``*`` the longest literal run of the pattern must occur in the word, so words are
-    joined on their substrings of the lengths in use and :func:`wildcards.matches` checks
-    the rest.  Words and patterns carry end marks, so ``*ED`` only meets words that end
-    so.  Patterns without any letter only bound the length.
+    With ``*`` a word is looked up by its rotations (a permuterm index).  The end mark joins the end
+    of a pattern to its beginning, so ``TH*ED`` is the prefix ``ED$TH`` of a rotation of
+    ``word$``; the longest run of letters that a pattern has in this circle is joined with the
+    rotations' prefixes of the lengths in use, and :func:`wildcards.matches` checks the rest.
     """
-    distinct = patterns.select(P.tidy(F.col("pattern")).alias("pattern")).where(
-        F.col("pattern") != ""
-    ).distinct()
-    words = words.select("word").distinct()
-
+    distinct = distinct.where(F.col("letters") > 0)
     fixed = distinct.where(~F.contains("pattern", F.lit("*"))).withColumn(
         "shape", F.regexp_replace("pattern", "[A-Z]", "x")
     )
@@ -67,34 +81,90 @@ def match_patterns(words: DataFrame, patterns: DataFrame) -> DataFrame:
     )
     exact = fixed.select("pattern").join(masked, "pattern").select("pattern", "word")
 
-    marked = F.concat(F.lit("^"), "pattern", F.lit("$"))
-    runs = F.filter(F.split(marked, r"[*?]+"), lambda r: F.rlike(r, F.lit("[A-Z]")))
+    starred = distinct.where(F.contains("pattern", F.lit("*")))
+    head = F.substring_index("pattern", "*", 1)
+    rest = F.substring(F.col("pattern"), F.length(head) + 1, F.length("pattern"))
+    runs = F.filter(F.split(F.concat(rest, F.lit("$"), head), r"[*?]+"), lambda r: F.rlike(r, F.lit("[A-Z]")))
     longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))
-    starred = distinct.where(F.contains("pattern", F.lit("*"))).withColumn("longest", longest)
-    anchored = starred.where(F.col("longest").isNotNull()).select(
+    keyed = starred.withColumn("longest", longest).select(
         "pattern", F.col("longest.n").alias("n"), F.col("longest.run").alias("run")
     )
     # one row per run length in use: never more than the longest pattern has letters
-    lengths = F.broadcast(anchored.select("n").distinct())
-    ended = F.concat(F.lit("^"), "word", F.lit("$"))
-    parts = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.length("word") + 3 - F.col("n")),
-            lambda i: F.substring(ended, i, F.col("n")),
-        )
+    lengths = F.broadcast(keyed.select("n").distinct())
+    circle = F.concat("word", F.lit("$"), "word")
+    starts = F.sequence(F.lit(1), F.length("word") + 1)
+    prefixes = F.array_distinct(F.transform(starts, lambda i: F.substring(circle, i, F.col("n"))))
+    rotations = each(
+        words.join(lengths, F.col("n") <= F.length("word") + 1), prefixes, "run", "word"
     )
-    grams = each(_each_length(words, "n", 2).join(lengths, "n"), parts, "run", "word")
     contained = (
-        anchored.join(grams, "run")
+        keyed.join(rotations, "run")
         .where(P.matches(F.col("word"), F.col("pattern"), is_tidy=True))
         .select("pattern", "word")
     )
+    return exact.unionByName(contained)
 
-    bare = starred.where(F.col("longest").isNull()).select(
-        "pattern", F.length(F.replace("pattern", F.lit("*"), F.lit(""))).alias("least")
+
+#: What a pattern with one letter asks for: the letter, the places before and
+#: behind it, and whether a ``*`` stands among those.
+_SPEC = ("letter", "before", "open_before", "behind", "open_behind")
+
+
+def first_matches(words: DataFrame, patterns: DataFrame, k: int) -> DataFrame:
+    """``(pattern, word, rank)``: the first ``k`` matches of every pattern, alphabetically.
+
+    Patterns with at most one letter match a large part of the vocabulary.  They are answered from
+    lists: the first ``k`` words per length, and per letter and place for the letters
+    and places that patterns ask for.  Spark limits each partition before it shuffles, so no more
+    than ``k`` words per list and partition move, and ``k`` per pattern are joined.
+    """
+    distinct = _split(patterns)
+    words = words.select("word").distinct()
+    strong = _match_letters(words, distinct.where(F.col("letters") > 1))
+    strong = top_k(strong, ["pattern"], [F.col("word")], k)
+    words = words.withColumn("len", F.length("word"))
+
+    bare = distinct.where(F.col("letters") == 0).select(
+        "pattern",
+        F.contains("pattern", F.lit("*")).alias("open"),
+        F.length(F.replace("pattern", F.lit("*"), F.lit(""))).alias("least"),
+    )
+    per_length = top_k(words, ["len"], [F.col("word")], k).select("word", "len")
+    # lengths in use (no more than the longest pattern has places) times k words of each length
+    asked = F.broadcast(bare.select("open", "least").distinct())
+    reached = F.when(F.col("open"), F.col("len") >= F.col("least")).otherwise(F.col("len") == F.col("least"))
+    per_bound = top_k(per_length.join(asked, reached), ["open", "least"], [F.col("word")], k)
+    listed = bare.join(per_bound, ["open", "least"]).select("pattern", "word", "rank")
+
+    single = distinct.where(F.col("letters") == 1)
+    letter = F.regexp_extract("pattern", "[A-Z]", 0)
+    before, behind = (F.split_part(F.col("pattern"), letter, F.lit(i)) for i in (1, 2))
+    places = lambda c: F.length(F.replace(c, F.lit("*"), F.lit("")))
+    single = single.select(
+        "pattern", letter.alias("letter"), places(before).alias("before"),
+        F.contains(before, F.lit("*")).alias("open_before"), places(behind).alias("behind"),
+        F.contains(behind, F.lit("*")).alias("open_behind"),
+    )
+    specs = single.select(*_SPEC).distinct()
+    placed = each_placed(words, F.split("word", ""), "place", "letter", "word", "len")
+    placed = placed.withColumn("left", F.col("len") - 1 - F.col("place"))
+    # a fixed place joins with the letter; where both sides are open a word counts at one place only
+    front = placed.join(
+        specs.where(~F.col("open_before")).withColumn("place", F.col("before")), ["letter", "place"]
+    ).where(F.when(F.col("open_behind"), F.col("left") >= F.col("behind")).otherwise(F.col("left") == F.col("behind")))
+    back = placed.join(
+        specs.where(F.col("open_before") & ~F.col("open_behind")).withColumn("left", F.col("behind")), ["letter", "left"]
+    ).where(F.col("place") >= F.col("before"))
+    held = each(words, F.array_distinct(F.split("word", "")), "letter", "word", "len")
+    inner = F.substring(F.col("word"), F.col("before") + 1, F.col("len") - F.col("before") - F.col("behind"))
+    anywhere = held.join(specs.where(F.col("open_before") & F.col("open_behind")), "letter").where(
+        F.contains(inner, F.col("letter"))
     )
-    long_enough = bare.join(_each_length(words, "least"), "least").select("pattern", "word")
-    return exact.unionByName(contained).unionByName(long_enough)
+    columns = [*_SPEC, "word"]
+    met = front.select(*columns).unionByName(back.select(*columns)).unionByName(anywhere.select(*columns))
+    per_spec = top_k(met, list(_SPEC), [F.col("word")], k)
+    lettered = single.join(per_spec, list(_SPEC)).select("pattern", "word", "rank")
+    return strong.select("pattern", "word", "rank").unionByName(listed).unionByName(lettered)
 
 
 def parse_requests(requests: DataFrame) -> DataFrame:
@@ -124,7 +194,7 @@ def solve(
     """
     entries = parse_requests(requests).withColumn("qid", F.concat_ws(":", "rid", "ord"))
     plain = entries.where("clue = ''")
-    fitting = top_k(match_patterns(words, plain), ["pattern"], [F.col("word")], k)
+    fitting = first_matches(words, plain, k)
     listed = plain.join(fitting, "pattern").select("rid", "ord", "pos", "rank", "word")
 
     asked = entries.where("clue <> ''")

@@ -1,5 +1,6 @@
 """Text, pattern, date, vector and direction expressions."""
 
+import random
 import re
 
 import pytest
@@ -154,3 +155,28 @@ def test_store_helpers(spark):
     first, again = (Z.shuffled(many, "cwid", 5, "11").collect() for _ in range(2))
     assert first == again and len(Z.shuffled(many, "cwid", 5).collect()) == 5
     assert [r.word for r in Z.letter_words(spark.createDataFrame([("ab",), ("a1",), ("",)], "word string")).collect()] == ["ab"]
+
+
+def test_first_matches_are_the_head_of_a_regex_scan(spark):
+    rng = random.Random(6)
+    vocabulary = sorted({"".join(rng.choice("ABCE") for _ in range(rng.randrange(0, 7))) for _ in range(400)} - {""})
+    patterns = ["*", "??", "???*", "?", "*E", "E*", "?E*", "*E?", "*E*", "?*E*?", "??C??", "A", "AB*", "*BA", "A*B", "A?*B*C", "A??B", "*A?B*", "AB*AB", "Z*"]
+    patterns += ["".join(rng.choice("AB?*") for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    words = spark.createDataFrame([(w,) for w in vocabulary], "word string")
+    asked = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    exact = {p: [w for w in vocabulary if re.fullmatch(p.replace("*", ".*").replace("?", "."), w)] for p in patterns}
+    got = {}
+    for r in M.first_matches(words, asked, 5).orderBy("rank").collect():
+        got.setdefault(r.pattern, []).append(r.word)
+    assert got == {p: found[:5] for p, found in exact.items() if found}
+    every = {(r.pattern, r.word) for r in M.match_patterns(words, asked).collect()}
+    assert every == {(p, w) for p, found in exact.items() for w in found}
+
+
+def test_letterless_and_one_letter_patterns_join_no_more_than_k_words(spark):
+    words = spark.createDataFrame([(f"{a}{b}{c}E",) for a in "ABCDEFGH" for b in "ABCDEFGH" for c in "ABCDEFGH"], "word string")
+    asked = spark.createDataFrame([("*",), ("???*",), ("????",), ("*E",), ("??E*",), ("*A*",)], "pattern string")
+    assert M.first_matches(words, asked, 7).count() == 6 * 7
+    # the pattern only meets the finished lists
+    plan = M.first_matches(words, asked, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan
