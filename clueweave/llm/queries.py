@@ -106,7 +106,8 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_substring_dedup")
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without the 400-byte strings that stand elsewhere too."""
-    return substring_dedup.remove_repeats(table(spark, folder, "documents"), length=400)
+    found = substring_dedup.remove_repeats(table(spark, folder, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 @query("op7_license_scan")

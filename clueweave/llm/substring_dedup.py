@@ -18,8 +18,8 @@ are judged on the input, never across documents, overlapping copies count.
    unless the preceding symbols differ.  A window repeats when it shares ``length`` bytes with a
    neighbour in the order.
 5. The shards of one frequent gram are merged: each hands over its distinct windows' 128-bit
-   hashes, sorted and cut into ranges, and each range looks the runs up in one another by binary
-   search.
+   hashes, sorted and cut into ranges by binary search; a range puts the runs together in order,
+   where windows that stand in more than one shard are neighbours.
 6. Repeated windows are carried back to the places of their class, united, and cut out.
 
 Texts are UTF-8 bytes, a null text is empty; rows may repeat (then they are copies), ids may be null.
@@ -48,10 +48,9 @@ GRAM = 48
 #: Windows of a piece at most (repetitive text keeps its smallest gram for long).
 RUN = 512
 #: Bytes of classes in a shard, roughly, and the most of one gram before it is split.
-SHARD_BYTES, SPLIT_BYTES = 1 << 21, 1 << 22
+SHARD_BYTES = SPLIT_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 @functools.cache
@@ -65,12 +64,12 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers(base, max(16, (n - 1).bit_length()))[:n]
 
 
-def grams(data: np.ndarray, size: int) -> np.ndarray:
+def grams(data: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
     """A 64-bit hash of each run of ``size`` bytes, equal for equal runs wherever they stand."""
     n = len(data)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
-    h = (sums[size:] - sums[:-size]) * _power(_INVERSE, n)[: n - size + 1]
+    np.cumsum((data + np.uint64(1)) * _power(base, n), out=sums[1:])
+    h = (sums[size:] - sums[:-size]) * _power(pow(base, -1, 1 << 64), n)[: n - size + 1]
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(29)
@@ -120,24 +119,30 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ``symbols`` are integers from 0 to 256; the end of the array is smaller than all of them.
     """
     n = len(symbols)
-    packed = np.zeros(n + 6, dtype=np.int64)
-    packed[:n] = symbols.astype(np.int64) + 1
-    key = packed[:n].copy()
+    packed = np.zeros(n + 6, dtype=np.int16)
+    packed[:n] = symbols
+    packed[:n] += 1
+    key = packed[:n].astype(np.int64)
     for k in range(1, 7):  # seven symbols of nine bits make the first ranks
-        key = key << 9 | packed[k : n + k]
-    order = np.argsort(key, kind="stable")
+        key <<= 9
+        key |= packed[k : n + k]
+    del packed
+    order = np.argsort(key, kind="stable").astype(np.int32)
     key = key[order]
     first = np.append(True, key[1:] != key[:-1])
+    del key
     # a suffix's rank is the place of the last member of its group
-    group = np.flatnonzero(first)
-    last = np.append(group[1:], n) - 1
-    rank = np.empty(n, dtype=np.int64)
+    group = np.flatnonzero(first).astype(np.int32)
+    last = np.append(group[1:], np.int32(n)) - np.int32(1)
+    rank = np.empty(n, dtype=np.int32)
     rank[order] = np.repeat(last, last - group + 1)
-    at = np.flatnonzero(np.repeat(last > group, last - group + 1))  # places not yet single
+    # places not yet single
+    at = np.flatnonzero(np.repeat(last > group, last - group + 1)).astype(np.int32)
+    del first, group, last
     step = 7
     while len(at):
         suffix = order[at]
-        follow = np.full(len(at), -1, dtype=np.int64)
+        follow = np.full(len(at), -1, dtype=np.int32)
         inside = suffix + step < n
         follow[inside] = rank[suffix[inside] + step]
         own = rank[suffix]
@@ -179,18 +184,19 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray) -> tuple[np.ndarray,
     is the left position's less one; only the other positions are compared.
     """
     n = len(symbols)
-    before = np.full(n, -1, dtype=np.int64)
+    before = np.full(n, -1, dtype=np.int32)
     before[order[1:]] = order[:-1]
     compared = np.ones(n, dtype=bool)
     inner = np.flatnonzero(before > 0)
     inner = inner[inner > 0]
     compared[inner] = symbols[inner - 1] != symbols[before[inner] - 1]
     padded = np.append(symbols.astype(np.int16), np.int16(-1))
-    value = np.zeros(n, dtype=np.int64)
+    value = np.zeros(n, dtype=np.int32)
     at = np.flatnonzero(compared & (before >= 0))
     value[at] = _shared(padded, at, before[at])
-    source = np.maximum.accumulate(np.where(compared, np.arange(n), 0))
-    return value[source] - (np.arange(n) - source), before
+    place = np.arange(n, dtype=np.int32)
+    source = np.maximum.accumulate(np.where(compared, place, np.int32(0)))
+    return value[source] - (place - source), before
 
 
 def repeated_windows(texts: list[bytes], length: int) -> np.ndarray:
@@ -253,6 +259,12 @@ def _slicer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def window_hashes(text: bytes, length: int) -> np.ndarray:
+    """Two independent 64-bit hashes of the window at each position."""
+    data = np.frombuffer(text, np.uint8)
+    return np.column_stack([grams(data, length), grams(data, length, _BASE2)])
+
+
 def _shard(length: int):
     """Repeated runs of a shard's classes; for a split gram also its windows for the merge."""
 
@@ -260,7 +272,7 @@ def _shard(length: int):
         texts = rows["bytes"].tolist()
         twice = repeated_windows(texts, length)
         split = int(rows["split"].iat[0])
-        out, hashes, places, begin = [], [], [], 0
+        out, keys, own, begin = [], [], [], 0
         for text, gram, content, many in zip(texts, rows["gram"], rows["content"], rows["places"]):
             windows = len(text) - length + 1
             flags = twice[begin : begin + windows]
@@ -268,13 +280,13 @@ def _shard(length: int):
             if many < 2:
                 out += [(gram, content, a, b, None) for a, b in _runs(flags)]
             if split > 1:
-                for w in range(windows):
-                    hashes.append(xxhash.xxh3_128_digest(text[w : w + length]))
-                    places.append((content, w, many > 1 or flags[w]))
+                keys.append(window_hashes(text, length))
+                place = np.empty((windows, 3), np.int64)
+                place[:, 0], place[:, 1], place[:, 2] = content, np.arange(windows), flags | (many > 1)
+                own.append(place)
         frame = pd.DataFrame(out, columns=["gram", "content", "low", "high", "windows"])
-        if hashes:
-            keys = np.frombuffer(b"".join(hashes), dtype=">u8").astype(np.uint64).reshape(-1, 2)
-            own = np.array(places, dtype=np.int64)
+        if keys:
+            keys, own = np.concatenate(keys), np.concatenate(own)
             by = np.lexsort((keys[:, 1], keys[:, 0]))
             keys, own = keys[by], own[by]
             fresh = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))  # one of equal windows
@@ -294,30 +306,21 @@ def _shard(length: int):
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """Windows of one hash range that stand in more than one run, by binary search."""
-    runs = [np.frombuffer(w, dtype=np.int64).reshape(-1, 5) for w in rows["windows"]]
-    keys = [np.ascontiguousarray(r[:, :2]).view(np.uint64).reshape(-1, 2) for r in runs]
-    out = []
-    for i, mine in enumerate(keys):
-        found = np.zeros(len(mine), dtype=bool)
-        for j, other in enumerate(keys):
-            if i != j:
-                at = np.searchsorted(other[:, 0], mine[:, 0], "left")
-                for _ in range(2):  # equal first halves are next to each other
-                    inside = at < len(other)
-                    same = np.zeros(len(mine), dtype=bool)
-                    same[inside] = (other[at[inside]] == mine[inside]).all(axis=1)
-                    found |= same
-                    at = at + 1
-        own = runs[i][found]
-        out.append(own[own[:, 4] == 0][:, 2:4])  # others are known already
-    content, low = np.concatenate(out).T if out else ([], [])
-    gram = rows["gram"].iat[0]
-    return pd.DataFrame({"gram": gram, "content": content, "low": low, "high": low + 1})
+    """Windows of one hash range that stand in more than one run.
+
+    A run holds a window once, so equal neighbours in the common order come from different runs.
+    """
+    runs = np.concatenate([np.frombuffer(w, dtype=np.int64).reshape(-1, 5) for w in rows["windows"]])
+    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    same = (runs[1:, :2] == runs[:-1, :2]).all(axis=1)
+    found = np.append(False, same) | np.append(same, False)
+    own = runs[found & (runs[:, 4] == 0)]  # others are known already
+    content, low = own[:, 2], own[:, 3]
+    return pd.DataFrame({"gram": rows["gram"].iat[0], "content": content, "low": low, "high": low + 1})
 
 
 def _removal(length: int):
-    names = ["tid", "n_removed", "n_spans", "kept_sha256"]
+    names = ["tid", "n_removed", "spans", "kept_sha256"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,8 +332,8 @@ def _removal(length: int):
                     kept.update(text[at:a])
                     at = b
                 kept.update(text[at:])
-                rows.append((tid, sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                rows.append((tid, sum(b - a for a, b in spans), list(map(list, spans)), kept.hexdigest()))
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names
@@ -353,7 +356,11 @@ def removed_spans(runs: list[tuple[int, int]], length: int) -> list[tuple[int, i
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, split_bytes: int = SPLIT_BYTES
 ) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of every row."""
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, text)`` of every row.
+
+    ``spans`` lists the removed runs of bytes as ``[begin, end]``; ``text`` is what remains, with a
+    replacement character where a cut went through a character.
+    """
     text = F.coalesce("text", F.lit(""))
     k1, k2 = two_hashes(text)
     rows = docs.select("doc_id", text.alias("text"), k1.alias("k1"), k2.alias("k2"))
@@ -369,7 +376,8 @@ def remove_repeats(
         .agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
         .select("k1", "k2", "copies", "text.*")
     )
-    texts = written(texts, "texts").withColumn("tid", F.xxhash64("k1", "k2"))
+    # a number without collisions; stored, so that it stays the same
+    texts = written(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
     long = texts.where(F.col("n_bytes") >= length)
     cut = long.select("tid", "copies", "data").mapInArrow(_cutter(length), _PIECES)
     grams_ = cut.groupBy("gram").agg(F.sum(F.col("copies") * F.col("hits")).alias("n"))
@@ -395,11 +403,13 @@ def remove_repeats(
     )
     shards = int(total // shard_bytes) + 1
     whole = F.col("split") > 1
+    sliced = sliced.withColumn(
+        "shard", F.when(whole, F.col("gram")).otherwise(F.pmod(F.xxhash64("gram"), F.lit(shards)))
+    ).withColumn("part", F.when(whole, F.pmod(F.xxhash64("content"), F.col("split"))).otherwise(-1))
+    # dealt by number: sorting suffixes takes long for few bytes, so tasks must not be merged by bytes
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // 4 + 1)
     found = written(
-        sliced.groupBy(
-            F.when(whole, F.col("gram")).otherwise(F.pmod(F.xxhash64("gram"), F.lit(shards))).alias("shard"),
-            F.when(whole, F.pmod(F.xxhash64("content"), F.col("split"))).otherwise(-1).alias("part"),
-        ).applyInPandas(
+        sliced.repartition(tasks, "shard", "part").groupBy("shard", "part").applyInPandas(
             _shard(length), "gram bigint, content bigint, low bigint, high bigint, windows binary"
         ),
         "repeats",
@@ -431,14 +441,29 @@ def remove_repeats(
     )
     cleaned = (
         long.where("copies = 1").select("tid", "data").join(spans, "tid").select("tid", "data", "runs")
-        .mapInArrow(_removal(length), "tid bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+        .mapInArrow(_removal(length), "tid bigint, n_removed bigint, spans array<array<bigint>>, kept_sha256 string")
     )
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+    none = F.array().cast("array<array<bigint>>")
     results = texts.select("k1", "k2", "tid", "copies", "n_bytes", "sha").join(cleaned, "tid", "left")
     results = results.select(
         "k1", "k2", "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(gone, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(gone, F.array(F.array(F.lit(0).cast("bigint"), "n_bytes")))
+        .otherwise(F.coalesce("spans", none)).alias("spans"),
+    )
+    return rows.join(results, ["k1", "k2"]).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256", "spans",
+        _remaining(F.col("text"), F.col("spans")).alias("text"),
     )
-    return rows.select("doc_id", "k1", "k2").join(results, ["k1", "k2"]).drop("k1", "k2")
+
+
+def _remaining(text: Column, spans: Column) -> Column:
+    """``text`` without the bytes of ``spans`` (rising, apart)."""
+    data = text.cast("binary")
+    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(spans, lambda s: s[1]))
+    ends = F.concat(F.transform(spans, lambda s: s[0]), F.array(F.octet_length(text).cast("bigint")))
+    kept = F.zip_with(begins, ends, lambda a, b: F.hex(F.substring(data, a.cast("int") + 1, (b - a).cast("int"))))
+    joined = F.unhex(F.array_join(kept, ""))
+    return F.when(F.size(spans) == 0, text).otherwise(F.make_valid_utf8(joined.cast("string")))

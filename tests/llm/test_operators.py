@@ -198,14 +198,36 @@ def test_substring_dedup(docs, nothing):
                 gone[i : i + length] = True
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
-        want.append((key, len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        want.append((key, len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace")))
     order = lambda r: (r[0] is not None, r)
     for limits in ({}, {"shard_bytes": 500, "split_bytes": 300}):
-        got = collected(substring_dedup.remove_repeats(docs, length, **limits))
+        found = substring_dedup.remove_repeats(docs, length, **limits)
+        assert all(r.n_removed == sum(b - a for a, b in r.spans) for r in found.collect())
+        got = collected(found.drop("spans"))
         assert sorted(got, key=order) == sorted(want, key=order)
     assert substring_dedup.remove_repeats(nothing, length).count() == 0
 
 
+def test_substring_dedup_of_a_hot_gram_with_many_classes(spark):
+    """One passage stands in every text, each time with other neighbours."""
+    rng, length = random.Random(9), 60
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(55)
+    shown = [noise(20) + passage + tail for tail in [noise(4) for _ in range(30)] for _ in range(2)]
+    shown += [noise(rng.randrange(80)) + "é" * rng.randrange(3) + passage + noise(3) for _ in range(60)]
+    seen = Counter(t.encode()[i : i + length] for t in shown for i in range(len(t.encode()) - length + 1))
+    want = []
+    for key, t in enumerate(shown):
+        data = t.encode()
+        gone = np.zeros(len(data), dtype=bool)
+        for i in range(len(data) - length + 1):
+            gone[i : i + length] |= seen[data[i : i + length]] > 1
+        want.append((key, int(gone.sum())))
+    given = spark.createDataFrame(list(enumerate(shown)), "doc_id bigint, text string")
+    found = substring_dedup.remove_repeats(given, length, shard_bytes=2000, split_bytes=700)
+    assert sorted((r.doc_id, r.n_removed) for r in found.collect()) == want
+
+
 @pytest.mark.parametrize("letters", [1, 2, 5])
 def test_suffix_array(letters):
     rng = np.random.default_rng(letters)
