@@ -104,6 +104,13 @@ class Encoder:
         word = word.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.model.tokenize(word)]
 
+    def _stays_letters(self, word: str) -> bool:
+        """Whether the vocabulary's own form of the word is letters only: a mark that a letter leaves
+        at the end would be one pre-token with the signs behind it."""
+        if self.cut == "blank" or word.isascii():
+            return True
+        return "Σ" not in word and unicodedata.normalize("NFC", word).lower().isalpha()
+
     def _chunk(self, chunk: str, blank: bool) -> list[int]:
         """Ids of a chunk; ``blank`` says that a blank stands before it."""
         if "\n" in chunk and self.cut == "blank":
@@ -112,7 +119,7 @@ class Encoder:
                 return self._whole(" " + chunk if blank else chunk)
             return [*self._known(first, blank), *self._known("\n", False), *self._known(rest, False)]
         word = chunk.rstrip(_SIGNS)
-        if word.isalpha():
+        if word.isalpha() and self._stays_letters(word):
             if len(word) == len(chunk):
                 return self._word(word, blank)
             return [*self._known(word, blank), *self._known(chunk[len(word) :], False)]

@@ -37,6 +37,10 @@ _EF_HEAD = struct.Struct("<QQQQq")
 _SAMPLE = 256
 #: A new file is begun after so many ids.
 FILE_IDS = 1 << 24
+#: Documents of a file at most: their boundaries are coded at once.
+FILE_DOCUMENTS = 1 << 20
+#: Files are read back by as many tasks, up to this number.
+MOST_TASKS = 100_000
 
 
 class EliasFano:
@@ -192,7 +196,7 @@ def _writer(folder: str, tokenizer: str, cut: str, end_id: int):
                         out = _Open(folder, part, number, width)
                     out.add(keys[at], np.append(ids, np.uint32(end_id)))
                     at += 1
-                    if out.tokens >= FILE_IDS:
+                    if out.tokens >= FILE_IDS or len(out.ends) >= FILE_DOCUMENTS:
                         yield out.close()
                         out, number = None, number + 1
         if out is not None:
@@ -242,9 +246,11 @@ class _Open:
 def read_store(manifest: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document, read from the files.
 
-    One row of the manifest is a bounded file; the rows are dealt over the tasks.
+    One row of the manifest is a bounded file; the rows are dealt by number, a file to a task, which
+    adaptive execution does not merge.
     """
-    return manifest.select("uri", "base").repartition("uri").mapInArrow(
+    files = min(max(manifest.count(), 1), MOST_TASKS)
+    return manifest.select("uri", "base").repartition(files).mapInArrow(
         _digests, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     )
 

@@ -76,6 +76,23 @@ def test_chunks_give_the_ids_of_whole_texts(path, cut):
     assert found == [plain.encode(t, add_special_tokens=False).ids for t in given]
 
 
+@pytest.mark.parametrize("path,cut", [(BYTE, "blank"), (WORD, "space")])
+def test_ids_of_random_unicode_texts(path, cut):
+    rng, plain, encoder = random.Random(11), Tokenizer.from_file(path), Encoder(path, cut)
+    ranges = [(32, 127), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x530), (0x5D0, 0x700), (0x900, 0xA00), (0x1E00, 0x2070), (0x3040, 0x30FF), (0x4E00, 0x4F00), (0xAC00, 0xAD00), (0xFB00, 0xFB20), (0x1F600, 0x1F640)]
+
+    def letter():
+        kind = rng.random()
+        if kind < 0.3:
+            return rng.choice("abcdeISTİıßΣς .,!?&$ ")
+        return chr(rng.randrange(*rng.choice(ranges)))
+
+    given = ["".join(letter() for _ in range(rng.randrange(1, 14))) for _ in range(30_000)] + [" İ.", "SEVGİ.", "ΑΣ.", "ǰ!", "ŉ?"]
+    exact = [e.ids for e in plain.encode_batch_fast(given, add_special_tokens=False)]
+    found = [ids.tolist() for ids in encoder.ids(given)]
+    assert [(t, f) for t, f, e in zip(given, found, exact) if f != e] == []
+
+
 def test_packing_round_trip(docs, nothing):
     plain, pieces = Tokenizer.from_file(BYTE), packing.decompose(docs, BYTE, "blank", 0, 64).collect()
     assert len({p.sequence_id for p in pieces}) == len(pieces) == max(p.sequence_id for p in pieces) + 1
