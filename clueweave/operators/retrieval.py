@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clueweave.operators.search import top_k
+from clueweave.operators import impact
 from clueweave.operators.unnest import each
+from clueweave.session import written
 
 #: similarities are compared at this many decimals, so copies of a text tie exactly
 DECIMALS = 6
@@ -51,29 +52,43 @@ def normalised(values: DataFrame) -> DataFrame:
     )
 
 
-def retrieve(tf: DataFrame, weights: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Top ``k`` documents per query by cosine; ``queries`` is ``(qid, term, n)``.
+def impact_entries(tf: DataFrame, weights: DataFrame) -> DataFrame:
+    """Stored ``(key, item, w)``: the share of each term in its document's length.
 
-    Only terms of a query are matched, and terms of idf 0 cannot change a score.
+    With documents of length one, a cosine is a sum over the terms of a query.
     """
-    values = tfidf(tf, weights)
-    asked = queries.join(weights.where("idf <> 0").select("term", "idf"), "term").select(
-        "qid", "term", (F.col("n") * F.col("idf")).alias("q")
-    )
-    query_length = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qlength"))
-    dots = values.join(asked, "term").groupBy("qid", "doc_id").agg(
-        F.sum(F.col("q") * F.col("tfidf")).alias("dot")
+    shares = normalised(written(tfidf(tf, weights), "tfidf")).where("tfidf > 0")
+    return written(shares.select(F.col("term").alias("key"), F.col("doc_id").alias("item"), F.col("tfidf").alias("w")), "shares")
+
+
+def retrieve_indexed(
+    blocks: DataFrame, entries: DataFrame, weights: DataFrame, queries: DataFrame, k: int = 10
+) -> tuple[DataFrame, DataFrame]:
+    """Top ``k`` documents per query by cosine, and the postings read for each query.
+
+    ``entries`` are the :func:`impact_entries` of the collection and ``blocks`` their index;
+    ``queries`` is ``(qid, term, n)``.
+    """
+    asked = queries.join(weights.where("idf > 0").select("term", "idf"), "term").select(
+        "qid", F.col("term").alias("key"), (F.col("n") * F.col("idf")).alias("q")
     )
-    similar = (
-        dots.join(lengths(values), "doc_id")
-        .join(query_length, "qid")
-        .select(
-            "qid",
-            "doc_id",
-            F.round(F.col("dot") / (F.col("length") * F.col("qlength")), DECIMALS).alias("similarity"),
-        )
+    length = Window.partitionBy("qid")
+    asked = asked.withColumn("q", F.col("q") / F.sqrt(F.sum(F.col("q") * F.col("q")).over(length)))
+    found, read = impact.top_sums(
+        blocks, entries, asked, k, slack=2 * 10.0**-DECIMALS, shown=lambda s: F.round(s, DECIMALS)
     )
-    return top_k(similar, ["qid"], [F.desc("similarity"), F.col("doc_id")], k)
+    return found.select("qid", F.col("item").alias("doc_id"), F.col("score").alias("similarity"), "rank"), read
+
+
+def retrieve(tf: DataFrame, weights: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Top ``k`` documents per query by cosine; ``queries`` is ``(qid, term, n)``.
+
+    Only the lists of terms in use are laid out; terms of idf 0 cannot change a score.
+    """
+    entries = impact_entries(tf, weights)
+    asked = written(entries.join(queries.select(F.col("term").alias("key")).distinct(), "key", "left_semi"), "postings")
+    found, _ = retrieve_indexed(impact.index(asked), asked, weights, queries, k)
+    return found
 
 
 def strongest(values: DataFrame, n: int) -> DataFrame:

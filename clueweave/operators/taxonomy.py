@@ -36,33 +36,27 @@ def related(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """``(node, anc, dist)``: all proper ancestors with every path length.
 
-    Each round lengthens the newest paths by one edge and is written, so lineage stays
-    flat.  Only edges that start at an inner node can lengthen a path, which keeps the
-    joined side small; busy ancestors are salted.  The rounds end when nothing is longer,
-    however deep the hierarchy; a node that reaches itself is an error.
+    Paths double: after a round all lengths up to ``2 * reach`` are known, because a longer path is
+    one of exactly ``reach`` edges followed by a known one, and distances add.  The rounds, each
+    written, are as many as the depth has binary digits.  Only ancestors that are reached in exactly
+    ``reach`` edges are looked up again, and busy ones are salted.  A node that reaches itself is an
+    error.
     """
-    direct = written(edges.select(F.col("child").alias("node"), F.col("parent").alias("anc")).distinct(), "closure")
-    inner = written(
-        direct.select(F.col("node").alias("key"), F.col("anc").alias("next")).join(
-            direct.select(F.col("anc").alias("key")).distinct(), "key", "left_semi"
-        ),
-        "closure-inner",
-    )
-    frontier = direct.withColumn("dist", F.lit(1))
-    levels = frontier
+    pairs = edges.select(F.col("child").alias("node"), F.col("parent").alias("anc")).distinct()
+    newest = written(pairs.withColumn("dist", F.lit(1)), "closure")
+    known, reach = newest, 1
     while True:
-        if not frontier.where("node = anc").isEmpty():
+        if not newest.where("node = anc").isEmpty():
             raise ValueError("the hierarchy has a cycle")
-        longer = salted_join(
-            frontier.withColumnRenamed("anc", "key"), inner, ["key"], "key", F.col("node")
-        )
-        frontier = written(
-            longer.select("node", F.col("next").alias("anc"), (F.col("dist") + 1).alias("dist")).distinct(),
-            "closure",
-        )
-        if frontier.isEmpty():
-            return levels
-        levels = levels.unionByName(frontier)
+        ends = newest.where(F.col("dist") == reach).withColumnRenamed("anc", "key")
+        onward = known.select(F.col("node").alias("key"), F.col("anc"), F.col("dist").alias("more"))
+        onward = onward.join(ends.select("key").distinct(), "key", "left_semi")
+        longer = salted_join(ends, onward, ["key"], "key", F.col("node"), counted=ends)
+        longer = longer.select("node", "anc", (F.col("dist") + F.col("more")).alias("dist")).distinct()
+        newest = written(longer, "closure")
+        if newest.isEmpty():
+            return known
+        known, reach = known.unionByName(newest), 2 * reach
 
 
 def with_self(paths: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Hierarchies with several parents, senses and similarities."""
 
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from clueweave.operators import taxonomy as T
+from clueweave.session import written
 
 EDGES = [
     ("animal", "entity"), ("pet", "entity"), ("cat", "animal"), ("dog", "animal"), ("cat", "pet"),
@@ -88,3 +91,23 @@ def test_published_measures(spark):
     got = T.content_similarities(lca, info).first()
     assert abs(got.lin - 2 * ic["animal"] / (ic["kitten"] + ic["dog"])) < 1e-12
     assert abs(got.jcn - 1 / (ic["kitten"] + ic["dog"] - 2 * ic["animal"])) < 1e-12
+
+
+def test_closure_of_a_deep_chain_takes_a_logarithm_of_rounds(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(T, "written", lambda df, label: stored.append(label) or written(df, label))
+    chain = spark.range(1000).select(F.col("id").alias("child"), (F.col("id") + 1).alias("parent"))
+    paths = T.closure(chain)
+    assert len(stored) <= 12
+    assert paths.count() == 1000 * 1001 // 2 and paths.where("anc - node <> dist").isEmpty()
+
+
+def test_closure_keeps_every_path_length(spark):
+    rng = random.Random(3)
+    edges = {(a, rng.randrange(a + 1, 24)) for a in range(23) for _ in range(3)}
+    exact, frontier = set(), {(a, b, 1) for a, b in edges}
+    while frontier:
+        exact |= frontier
+        frontier = {(a, d, n + 1) for a, b, n in frontier for c, d in edges if b == c}
+    found = T.closure(spark.createDataFrame(list(edges), "child int, parent int"))
+    assert sorted(map(tuple, found.collect())) == sorted(exact)
