@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clueweave.operators import impact
+from clueweave.operators.search import top_k
 from clueweave.operators.unnest import each
 from clueweave.session import written
 
@@ -83,12 +84,28 @@ def retrieve_indexed(
 def retrieve(tf: DataFrame, weights: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Top ``k`` documents per query by cosine; ``queries`` is ``(qid, term, n)``.
 
-    Only the lists of terms in use are laid out; terms of idf 0 cannot change a score.
+    Only terms of a query are matched, and terms of idf 0 cannot change a score.  This scores every
+    document that shares a term; many queries over one collection should ask its stored index
+    (:func:`retrieve_indexed`).
     """
-    entries = impact_entries(tf, weights)
-    asked = written(entries.join(queries.select(F.col("term").alias("key")).distinct(), "key", "left_semi"), "postings")
-    found, _ = retrieve_indexed(impact.index(asked), asked, weights, queries, k)
-    return found
+    values = tfidf(tf, weights)
+    asked = queries.join(weights.where("idf <> 0").select("term", "idf"), "term").select(
+        "qid", "term", (F.col("n") * F.col("idf")).alias("q")
+    )
+    query_length = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qlength"))
+    dots = values.join(asked, "term").groupBy("qid", "doc_id").agg(
+        F.sum(F.col("q") * F.col("tfidf")).alias("dot")
+    )
+    similar = (
+        dots.join(lengths(values), "doc_id")
+        .join(query_length, "qid")
+        .select(
+            "qid",
+            "doc_id",
+            F.round(F.col("dot") / (F.col("length") * F.col("qlength")), DECIMALS).alias("similarity"),
+        )
+    )
+    return top_k(similar, ["qid"], [F.desc("similarity"), F.col("doc_id")], k)
 
 
 def strongest(values: DataFrame, n: int) -> DataFrame:

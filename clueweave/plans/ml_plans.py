@@ -10,6 +10,7 @@ from clueweave.operators import bags as B
 from clueweave.operators import classify as C
 from clueweave.operators import dictionary as D
 from clueweave.operators import graph as G
+from clueweave.operators import impact
 from clueweave.operators import pca as A
 from clueweave.operators import retrieval as I
 from clueweave.operators.skew import salted_join
@@ -94,8 +95,7 @@ def line_terms(spark):
     return counted.withColumnRenamed("doc_id", "qid")
 
 
-@query(
-    "tfidf_topk",
+TOPK_SQL = (
     P.with_(
         DOC_TOKENS,
         "lines AS (SELECT * FROM (VALUES "
@@ -112,8 +112,11 @@ def line_terms(spark):
                    FROM sims)""",
     )
     + """SELECT qid, doc_id, similarity, CAST(rn AS INTEGER) AS rank, source, text AS definition
-         FROM ranked JOIN documents USING (doc_id) WHERE rn <= 10""",
+         FROM ranked JOIN documents USING (doc_id) WHERE rn <= 10"""
 )
+
+
+@query("tfidf_topk", TOPK_SQL)
 def tfidf_topk(spark, folder):
     docs, counted = term_table(spark, folder)
     best = I.retrieve(counted, I.idf(counted, docs), line_terms(spark), 10)
@@ -121,6 +124,17 @@ def tfidf_topk(spark, folder):
     return best.join(texts, "doc_id")
 
 
+@query("tfidf_topk_indexed", TOPK_SQL)
+def tfidf_topk_indexed(spark, folder):
+    """The same search over an impact-ordered index, opened only as far as needed."""
+    docs, counted = term_table(spark, folder)
+    weights = written(I.idf(counted, docs), "idf")
+    entries = I.impact_entries(counted, weights)
+    best, _ = I.retrieve_indexed(impact.index(entries), entries, weights, line_terms(spark), 10)
+    texts = V.table(spark, folder, "documents").select("doc_id", "source", F.col("text").alias("definition"))
+    return best.join(texts, "doc_id")
+
+
 STRONGEST = f"""rounded AS (SELECT doc_id, term, round(v, 6) AS tfidf FROM tfidf),
 strongest AS (SELECT * FROM rounded ORDER BY tfidf DESC, doc_id, term LIMIT {TOP}),
 kept AS (SELECT * FROM rounded WHERE tfidf >= (SELECT min(tfidf) FROM strongest))"""

@@ -101,19 +101,27 @@ def graph_search_dist2(spark, folder):
     return best.select("qid", "word", (F.col("score2") / 20.0).alias("score"), "rank")
 
 
-@query(
-    "search_batch_topk",
+BATCH_SQL = (
     P.with_(*CHAT_GRAPH, ASKED_ITEMS)
     + """, scores AS (SELECT qid, src AS word, CAST(sum(micro) AS BIGINT) AS score
            FROM asked JOIN graph ON dst = word GROUP BY qid, src)
          SELECT qid, word, score, CAST(rank AS INTEGER) AS rank FROM (
            SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, word) AS rank FROM scores)
-         WHERE rank <= 10""",
+         WHERE rank <= 10"""
 )
+
+
+@query("search_batch_topk", BATCH_SQL)
 def search_batch_topk(spark, folder):
     return Q.batch_top_k(chat_graph(spark, folder), asked_items(spark, folder), "micro", 10)
 
 
+@query("search_batch_indexed", BATCH_SQL)
+def search_batch_indexed(spark, folder):
+    """The same batch over lists in blocks of falling weight."""
+    return Q.batch_top_k_indexed(chat_graph(spark, folder), asked_items(spark, folder), "micro", 10)
+
+
 PATTERNS = ("th*e?", "?e?", "*ING", "q*")
 
 

@@ -57,8 +57,11 @@ def test_a_hub_is_not_expanded(spark):
     found, read = impact.top_sums(impact.index(entries), entries, asked, 10)
     assert {(r.qid, r.item, r.score) for r in found.collect()} == {(q, f"w{i}", 110 + i) for q in range(5) for i in range(10, 20)}
     assert all(r.entries == 100_020 and r.entries_read <= 2 * impact.BLOCK + 20 for r in read.collect())
-    one = Q.batch_top_k(edges, spark.createDataFrame([(1, "HUB"), (1, "HUB"), (2, "?")], "qid int, word string"), "w", 3)
-    assert [(r.word, r.score) for r in one.orderBy("rank").collect()] == [("w0", 10), ("w1", 10), ("w10", 10)]
+    words = spark.createDataFrame([(1, "HUB"), (1, "HUB"), (2, "?")], "qid int, word string")
+    assert Q.expanded_rows(edges, words) == 100_000
+    for expand in (10**9, 1):
+        one = Q.batch_top_k(edges, words, "w", 3, expand)
+        assert [(r.word, r.score) for r in one.orderBy("rank").collect()] == [("w0", 10), ("w1", 10), ("w10", 10)]
 
 
 def test_retrieval_reads_a_part_of_the_postings(spark):
