@@ -124,3 +124,43 @@ def train_naive_bayes(train: DataFrame, smoothing: float = 1.0):
 
 def train_tree(train: DataFrame, depth: int = 20, bins: int = 32):
     return DecisionTreeClassifier(impurity="gini", maxDepth=depth, maxBins=bins, seed=11).fit(train)
+
+
+def histograms(rows: DataFrame, features: str, bins: int = 32) -> DataFrame:
+    """``(feature, bin, label, n)`` of an array of counts, as one aggregation.
+
+    Bins are equally wide between 0 and a feature's largest value; a null count is 0.  The table has
+    at most features x bins x labels rows, whatever the number of examples.
+    """
+    filled = rows.where("label IS NOT NULL").select(
+        "label", F.transform(features, lambda v: F.coalesce(v, F.lit(0)).cast("bigint")).alias("v")
+    )
+    cells = filled.select("label", F.posexplode("v").alias("feature", "v"))
+    most = cells.groupBy("feature").agg(F.max("v").alias("most"))
+    width = F.expr(f"v * {bins} div (most + 1)").cast("int")
+    placed = cells.join(F.broadcast(most), "feature").withColumn("bin", width)
+    return placed.groupBy("feature", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def split_gains(counted: DataFrame, bins: int = 32, decimals: int = 9) -> DataFrame:
+    """``(feature, cut, n_left, n_right, gain, best)``: Gini gain of every split ``bin <= cut``.
+
+    Of equal gains the smallest feature and cut is the best.  Works on ``histograms``, so all joins
+    are over a small table of fixed size.
+    """
+    squares = lambda c: F.sum(F.col(c) * F.col(c))
+    totals = counted.groupBy("feature", "label").agg(F.sum("n").alias("all"))
+    cuts = totals.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(bins - 2))))
+    held = counted.select("feature", "label", "bin", "n")
+    left = cuts.join(held, ["feature", "label"]).groupBy("feature", "cut", "label", "all").agg(
+        F.sum(F.when(F.col("bin") <= F.col("cut"), F.col("n")).otherwise(0)).alias("left")
+    )
+    sums = left.withColumn("right", F.col("all") - F.col("left")).groupBy("feature", "cut").agg(
+        F.sum("all").alias("n"), F.sum("left").alias("n_left"), F.sum("right").alias("n_right"),
+        squares("all").alias("s"), squares("left").alias("s_left"), squares("right").alias("s_right"),
+    ).where("n_left > 0 AND n_right > 0")
+    # impurity of a part, times its size, is its size less the sum of squares over its size
+    gain = (F.col("s_left") / F.col("n_left") + F.col("s_right") / F.col("n_right") - F.col("s") / F.col("n")) / F.col("n")
+    gains = sums.select("feature", "cut", "n_left", "n_right", F.round(gain, decimals).alias("gain"))
+    first = gains.agg(F.min(F.struct((-F.col("gain")).alias("g"), "feature", "cut")).alias("b")).scalar()
+    return gains.withColumn("best", (F.col("feature") == first["feature"]) & (F.col("cut") == first["cut"]))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clueweave.operators import impact
@@ -126,6 +126,36 @@ def hashed_tfidf(docs: DataFrame, buckets: int, tokens: str = "toks") -> DataFra
     return Normalizer(inputCol="_tfidf", outputCol="features").transform(weighted).drop("_tf", "_tfidf")
 
 
+def bucket(term: Column, buckets: Column | int) -> Column:
+    """Place of a term among ``buckets``, from the first 32 bits of its MD5: the same in any engine."""
+    number = F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint")
+    return F.pmod(number, F.lit(buckets) if isinstance(buckets, int) else buckets)
+
+
+def hashed_counts(tf: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``(doc_id, buckets, bucket, n)``: term counts hashed into each of the sizes ``buckets``.
+
+    ``buckets`` has one row per size; terms that share a bucket add up.
+    """
+    sizes = buckets.agg(F.collect_list("buckets")).scalar()
+    spread = tf.select("doc_id", "term", "n", F.explode(sizes).alias("buckets"))
+    placed = spread.withColumn("bucket", bucket(F.col("term"), F.col("buckets")))
+    return placed.groupBy("doc_id", "buckets", "bucket").agg(F.sum("n").alias("n"))
+
+
+def collisions(terms: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Per size: distinct terms, buckets in use, and terms that share one with another."""
+    sizes = buckets.agg(F.collect_list("buckets")).scalar()
+    placed = terms.select("term").distinct().select("term", F.explode(sizes).alias("buckets"))
+    used = placed.groupBy("buckets", bucket(F.col("term"), F.col("buckets")).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return used.groupBy("buckets").agg(
+        F.sum("n").alias("n_terms"), F.count(F.lit(1)).alias("n_used"),
+        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n_sharing"),
+    )
+
+
 def sparse_dot(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
     """Dot product of tall sparse vectors ``(<by>, term, v)`` of ``a`` with the one vector ``b``."""
     return (

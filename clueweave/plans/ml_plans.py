@@ -22,7 +22,7 @@ from clueweave.session import spread, written
 
 DOC_TOKENS = f"""doc_tokens AS (
   SELECT doc_id, lang, string_split({P.norm('text')}, ' ') AS toks FROM documents),
-tf AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS n FROM (
+tf AS MATERIALIZED (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS n FROM (
          SELECT doc_id, unnest(toks) AS term FROM doc_tokens) WHERE term <> '' GROUP BY doc_id, term),
 idf AS (SELECT term, CAST(count(*) AS BIGINT) AS df,
                ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM tf GROUP BY term),
@@ -62,6 +62,40 @@ def rounded(values):
     return values.withColumn("tfidf", F.round("tfidf", 6))
 
 
+SIZES = """sizes AS MATERIALIZED (SELECT unnest([(SELECT count(DISTINCT term) FROM tf), 1048576, 26]) AS buckets),
+placed AS MATERIALIZED (SELECT term, buckets, CAST(('0x' || left(md5(term), 8))::BIGINT % buckets AS BIGINT) AS bucket
+           FROM (SELECT DISTINCT term FROM tf), sizes)"""
+
+
+def hash_sizes(spark, counted):
+    """A bucket per term on average, a size that keeps nearly all apart, and one for letters."""
+    terms = counted.agg(F.count_distinct("term").alias("buckets"))
+    return terms.union(spark.createDataFrame([(1 << 20,), (26,)], "buckets bigint"))
+
+
+@query(
+    "hashed_tf",
+    P.with_(DOC_TOKENS, SIZES)
+    + """SELECT doc_id, buckets, bucket, CAST(sum(n) AS BIGINT) AS n
+         FROM tf JOIN placed USING (term) GROUP BY doc_id, buckets, bucket""",
+)
+def hashed_tf(spark, folder):
+    _, counted = term_table(spark, folder)
+    return I.hashed_counts(counted, hash_sizes(spark, counted))
+
+
+@query(
+    "hash_collisions",
+    P.with_(DOC_TOKENS, SIZES)
+    + """SELECT buckets, CAST(sum(n) AS BIGINT) AS n_terms, count(*) AS n_used,
+                CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS n_sharing
+         FROM (SELECT buckets, bucket, count(*) AS n FROM placed GROUP BY buckets, bucket) GROUP BY buckets""",
+)
+def hash_collisions(spark, folder):
+    _, counted = term_table(spark, folder)
+    return I.collisions(counted, hash_sizes(spark, counted))
+
+
 @query("tf", TFIDF + "SELECT doc_id, term, n FROM tf")
 def tf(spark, folder):
     return I.term_counts(documents(spark, folder))
@@ -135,8 +169,8 @@ def tfidf_topk_indexed(spark, folder):
     return best.join(texts, "doc_id")
 
 
-STRONGEST = f"""rounded AS (SELECT doc_id, term, round(v, 6) AS tfidf FROM tfidf),
-strongest AS (SELECT * FROM rounded ORDER BY tfidf DESC, doc_id, term LIMIT {TOP}),
+STRONGEST = f"""rounded AS MATERIALIZED (SELECT doc_id, term, round(v, 6) AS tfidf FROM tfidf),
+strongest AS MATERIALIZED (SELECT * FROM rounded ORDER BY tfidf DESC, doc_id, term LIMIT {TOP}),
 kept AS (SELECT * FROM rounded WHERE tfidf >= (SELECT min(tfidf) FROM strongest))"""
 
 
@@ -351,6 +385,31 @@ def labelled_letters(spark, folder):
     )
 
 
+@query(
+    "dt_split_gains",
+    P.with_(LETTERS)
+    + """, cells AS (SELECT doc_id, lang AS label, ascii(right(feature, 1)) - ascii('a') AS feature, CAST(n AS BIGINT) AS v
+           FROM (UNPIVOT wide ON COLUMNS('f_.') INTO NAME feature VALUE n)),
+         widths AS (SELECT feature, max(v) AS most FROM cells GROUP BY feature),
+         hist AS (SELECT feature, v * 32 // (most + 1) AS bin, label, count(*) AS n
+                  FROM cells JOIN widths USING (feature) GROUP BY ALL),
+         parts AS (SELECT h.feature, c.cut, label, sum(n) AS t, coalesce(sum(n) FILTER (bin <= c.cut), 0) AS l
+                   FROM hist h, (SELECT unnest(range(31)) AS cut) c GROUP BY h.feature, c.cut, label),
+         gains AS (SELECT feature, cut, sum(l) AS nl, sum(t - l) AS nr,
+                     (sum(l * l)::DOUBLE / sum(l) + sum((t - l) * (t - l))::DOUBLE / sum(t - l)
+                      - sum(t * t)::DOUBLE / sum(t)) / sum(t) AS gain
+                   FROM parts GROUP BY feature, cut HAVING sum(l) > 0 AND sum(t - l) > 0),
+         rounded AS (SELECT *, round(gain, 9) AS g FROM gains)
+         SELECT CAST(feature AS INTEGER) AS feature, CAST(cut AS INTEGER) AS cut, CAST(nl AS BIGINT) AS n_left,
+                CAST(nr AS BIGINT) AS n_right, g AS gain,
+                row_number() OVER (ORDER BY g DESC, feature, cut) = 1 AS best FROM rounded""",
+)
+def dt_split_gains(spark, folder):
+    """Gini gains of all binned splits at the root of a letter tree, with the best one."""
+    rows = written(lettered(spark, folder).select("label", "counts"), "letters")
+    return C.split_gains(written(C.histograms(rows, "counts"), "histograms"))
+
+
 @query("dt_accuracy")
 def dt_accuracy(spark, folder):
     rows = written(labelled_letters(spark, folder), "letters")
@@ -429,7 +488,49 @@ def column_stats(spark, folder):
     return stats.select("pos", "n", *[F.round(c, 6).alias(c) for c in ("mean", "variance", "percent")])
 
 
-@query("pca_embeddings")
+PCA_SQL = """WITH RECURSIVE
+cells AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings),
+centred AS (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY i) AS v FROM cells),
+entries AS (SELECT a.i, b.i AS j, sum(a.v * b.v) / (count(*) - 1) AS c
+            FROM centred a JOIN centred b USING (vec_id) GROUP BY a.i, b.i),
+cov AS MATERIALIZED (
+  SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM entries GROUP BY i)),
+first(step, m) AS (
+  SELECT 0, m FROM cov
+  UNION ALL
+  SELECT step + 1, list_transform(s, lambda r: list_transform(r, lambda x: x / t)) FROM (
+    SELECT step, s, list_sum(list_transform(range(1, len(s) + 1), lambda i: s[i][i])) AS t FROM (
+      SELECT step, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) AS s
+      FROM first WHERE step < 18))),
+turned1 AS MATERIALIZED (
+  SELECT list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (
+    SELECT m[list_position(list_transform(range(1, len(m) + 1), lambda i: m[i][i]),
+                           list_max(list_transform(range(1, len(m) + 1), lambda i: m[i][i])))] AS v
+    FROM first WHERE step = 18)),
+rest AS MATERIALIZED (
+  SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - e * v[i] * v[j])) AS m
+  FROM (SELECT m, v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS e FROM cov, turned1)),
+second(step, m) AS (
+  SELECT 0, m FROM rest
+  UNION ALL
+  SELECT step + 1, list_transform(s, lambda r: list_transform(r, lambda x: x / t)) FROM (
+    SELECT step, s, list_sum(list_transform(range(1, len(s) + 1), lambda i: s[i][i])) AS t FROM (
+      SELECT step, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) AS s
+      FROM second WHERE step < 18))),
+turned2 AS MATERIALIZED (
+  SELECT list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (
+    SELECT m[list_position(list_transform(range(1, len(m) + 1), lambda i: m[i][i]),
+                           list_max(list_transform(range(1, len(m) + 1), lambda i: m[i][i])))] AS v
+    FROM second WHERE step = 18)),
+signs AS (
+  SELECT list_transform(a, lambda x: x * sign(a[list_position(list_transform(a, lambda y: abs(y)), list_max(list_transform(a, lambda y: abs(y))))])) AS a,
+         list_transform(b, lambda x: x * sign(b[list_position(list_transform(b, lambda y: abs(y)), list_max(list_transform(b, lambda y: abs(y))))])) AS b
+  FROM (SELECT turned1.v AS a, turned2.v AS b FROM turned1, turned2))
+SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], a), 4) AS pc1,
+       round(list_dot_product(embedding::DOUBLE[], b), 4) AS pc2 FROM embeddings, signs"""
+
+
+@query("pca_embeddings", PCA_SQL)
 def pca_embeddings(spark, folder):
     scored, _, _ = A.pca(V.table(spark, folder, "embeddings"), "embedding", 2)
     return scored.select("vec_id", F.round(F.col("scores")[0], 4).alias("pc1"), F.round(F.col("scores")[1], 4).alias("pc2"))

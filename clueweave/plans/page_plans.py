@@ -10,7 +10,7 @@ from clueweave.operators import wiki as W
 from clueweave.operators.unnest import each_struct
 from clueweave.plans import standins as V
 from clueweave.plans.registry import query
-from clueweave.session import spread
+from clueweave.session import fresh_path, spread
 
 ITEM = '<li><a href="/([^"]*)">([^<]*)</a></li>'
 PARAGRAPH = "<p>([^<]*)"
@@ -146,6 +146,22 @@ def incremental_new_pages(spark, folder):
     return fresh.select("page_id", "url", F.when(usable, "new").otherwise("failed").alias("state"))
 
 
+@query(
+    "incremental_stream",
+    """SELECT page_id, url, CASE WHEN regexp_matches(html, '<h1>[^<]+</h1>') THEN 'new' ELSE 'failed' END AS state,
+              CAST(page_id % 3 AS INTEGER) AS batch FROM pages""",
+)
+def incremental_stream(spark, folder):
+    """Three runs of a stream over a growing folder; every delivery repeats the one before."""
+    source, store, checkpoint = (fresh_path(spark, n) for n in ("arriving", "taken", "offsets"))
+    whole = V.table(spark, folder, "pages")
+    usable = F.regexp_like("html", F.lit("<h1>[^<]+</h1>"))
+    for run in range(3):
+        whole.where((F.col("page_id") % 3).isin(run, run - 1)).write.mode("append").parquet(source)
+        H.ingest(spark, source, whole.schema, store, checkpoint, usable)
+    return spark.read.parquet(store).select("page_id", "url", "state", "batch")
+
+
 #: how page markup is turned into wiki markup, in this order (pattern, replacement)
 TO_WIKI = (
     ("\n", " "),

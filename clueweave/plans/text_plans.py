@@ -282,3 +282,40 @@ def normalise_items(spark, folder):
     records = puzzles(spark, folder)
     dictionary = D.build(B.clues(records))
     return Z.normalise(records, dictionary)["items"].select("cwid", "wid", "x", "y", "clue", "dir")
+
+
+@query(
+    "name_forms",
+    r"""SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS answer,
+               trim(regexp_replace(p_name || ' #' || p_size || '!', '[^A-Za-z0-9 ]', '', 'g')) AS file_name,
+               unnest(string_split(p_type, ' ')) AS part, p_type AS whole FROM part""",
+)
+def name_forms(spark, folder):
+    """Puzzle answers, safe file names and split sequences of part names."""
+    titled = F.concat("p_name", F.lit(" #"), F.col("p_size").cast("string"), F.lit("!"))
+    return V.table(spark, folder, "part").select(
+        "p_partkey", T.puzzle_word(F.col("p_name")).alias("answer"), T.safe_name(titled).alias("file_name"),
+        F.explode(F.split("p_type", " ")).alias("part"), F.col("p_type").alias("whole"),
+    )
+
+
+@query(
+    "vector_steps",
+    """SELECT l_orderkey, l_linenumber, ax * ux + ay * uy AS dot, ax * uy - ay * ux AS det, abs(ax) + abs(ay) AS length,
+              CASE t WHEN 0 THEN ax WHEN 1 THEN -ay WHEN 2 THEN -ax ELSE ay END AS turned_x,
+              CASE t WHEN 0 THEN ay WHEN 1 THEN ax WHEN 2 THEN -ay ELSE -ax END AS turned_y
+       FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 15 - 7 AS INTEGER) AS ax, CAST(l_suppkey % 11 - 5 AS INTEGER) AS ay,
+                    CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 0 ELSE -1 END AS ux,
+                    CASE l_returnflag WHEN 'N' THEN 1 ELSE 0 END AS uy, l_linenumber % 4 AS t FROM lineitem)""",
+)
+def vector_steps(spark, folder):
+    """Places as vectors: products with a unit step, length and quarter turns."""
+    flag = F.col("l_returnflag")
+    way = F.when(flag == "A", "East").when(flag == "N", "South").otherwise("West")
+    ax, ay = (F.col("l_partkey") % 15 - 7).cast("int"), (F.col("l_suppkey") % 11 - 5).cast("int")
+    bx, by = R.step_x(way), R.step_y(way)
+    x, y = R.turned(ax, ay, F.col("l_linenumber") % 4)
+    return V.table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", R.dot(ax, ay, bx, by).alias("dot"), R.det(ax, ay, bx, by).alias("det"),
+        R.taxicab(ax, ay).alias("length"), x.alias("turned_x"), y.alias("turned_y"),
+    )

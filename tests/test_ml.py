@@ -1,5 +1,6 @@
 """TF-IDF, classifiers and components against direct computations."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -196,3 +197,37 @@ def test_ppca_fills_missing_cells(spark):
     filled = np.array([r.y for r in fitted.completed.orderBy("id").collect()])
     assert np.allclose(filled[~holes], y[~holes])
     assert np.abs(filled - y)[holes].mean() < 0.3 * np.abs(y - y.mean(0))[holes].mean()
+
+
+def test_hashed_counts_and_collisions(spark):
+    tf = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (1, "c", 4), (2, "a", 1)], "doc_id int, term string, n bigint")
+    sizes = spark.createDataFrame([(1,), (1 << 20,)], "buckets bigint")
+    place = lambda t, m: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % m
+    got = {(r.doc_id, r.buckets, r.bucket): r.n for r in I.hashed_counts(tf, sizes).collect()}
+    big = 1 << 20
+    assert got == {(1, 1, 0): 7, (2, 1, 0): 1, (2, big, place("a", big)): 1, **{(1, big, place(t, big)): n for t, n in (("a", 2), ("b", 1), ("c", 4))}}
+    lost = {r.buckets: (r.n_terms, r.n_used, r.n_sharing) for r in I.collisions(tf, sizes).collect()}
+    assert lost == {1: (3, 1, 3), big: (3, 3, 0)}
+
+
+def test_split_gains_equal_a_direct_search(spark):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 3, 200)
+    x = rng.integers(0, 40, (200, 4)) + 20 * (y[:, None] == [0, 1, 2, 9])
+    rows = [(str(c), [None if v == 0 else int(v) for v in row]) for c, row in zip(y, x)] + [(None, [1, 1, 1, 1])]
+    counted = C.histograms(spark.createDataFrame(rows, "label string, counts array<bigint>"), "counts", 8)
+    assert counted.count() <= 4 * 8 * 3 and counted.agg(F.sum("n")).first()[0] == 800
+    gini = lambda part: 1 - sum((np.mean(part == c)) ** 2 for c in range(3))
+    expected = {}
+    for f in range(4):
+        bins = x[:, f] * 8 // (x[:, f].max() + 1)
+        for cut in range(7):
+            left, right = y[bins <= cut], y[bins > cut]
+            if len(left) and len(right):
+                gain = gini(y) - len(left) / 200 * gini(left) - len(right) / 200 * gini(right)
+                expected[f, cut] = (len(left), len(right), gain)
+    got = {(r.feature, r.cut): r for r in C.split_gains(counted, 8).collect()}
+    assert set(got) == set(expected)
+    assert all((got[k].n_left, got[k].n_right) == e[:2] and abs(got[k].gain - e[2]) < 1e-8 for k, e in expected.items())
+    best = [k for k, r in got.items() if r.best]
+    assert best == [min(expected, key=lambda k: (-round(expected[k][2], 9), k))]

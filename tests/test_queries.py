@@ -21,7 +21,7 @@ def test_entry(spark):
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries()) and set(QUERIES) <= set(queries())
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"dt_accuracy", "pca_embeddings", "ppca_embeddings"}
+    assert set(QUERIES) - set(ORACLES) == {"dt_accuracy", "ppca_embeddings"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

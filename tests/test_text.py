@@ -180,3 +180,12 @@ def test_letterless_and_one_letter_patterns_join_no_more_than_k_words(spark):
     # the pattern only meets the finished lists
     plan = M.first_matches(words, asked, 7)._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_vectors_and_quarter_turns(spark):
+    row = spark.createDataFrame([(2, -3, 1, 4)], "ax int, ay int, bx int, by int")
+    a, b = (F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))
+    turns = [c for t in (0, 1, 2, 3, -1) for c in directions.turned(*a, t)]
+    got = row.select(directions.dot(*a, *b), directions.det(*a, *b), directions.taxicab(*a), *turns).first()
+    assert tuple(got) == (-10, 11, 5, 2, -3, 3, 2, -2, 3, -3, -2, -3, -2)
+    assert one(spark, "a-b", lambda c: text.puzzle_word(c)) == "AB"
