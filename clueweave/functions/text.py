@@ -136,3 +136,9 @@ def clue_date(text: Column) -> Column:
 def compact_date(text: Column) -> Column:
     """``20150506`` -> ``2015-05-06``; unreadable -> null."""
     return F.date_format(F.try_to_timestamp(text, F.lit("yyyyMMdd")), "yyyy-MM-dd")
+
+
+def visible(html: Column) -> Column:
+    """Text that a page shows: scripts, styles, comments, tags and references become blanks."""
+    markup = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>"
+    return F.regexp_replace(F.regexp_replace(html, markup, " "), "&#?[A-Za-z0-9]+;", " ")

@@ -290,3 +290,15 @@ def text_clean(spark, folder):
     source = V.chat_text(spark, folder)
     cleaned = S.stem_arrays(V.token_rows(source), ["category", "src_id"], ["toks"], V.stems(source))
     return cleaned.select("category", "src_id", F.array_join("toks_stem", " ").alias("cleaned"))
+
+
+@query(
+    "page_vocabulary",
+    P.with_(P.PAGE_TEXT, P.BAGS)
+    + """SELECT category, form, CAST(count(*) AS BIGINT) AS n FROM (
+           SELECT category, unnest(toks) AS form FROM bag_tokens) GROUP BY category, form""",
+)
+def page_vocabulary(spark, folder):
+    """Words of the visible text of whole pages, counted per category."""
+    tokens = V.token_rows(V.page_text(spark, folder))
+    return V.each(tokens, "toks", "form", "category").groupBy("category", "form").agg(F.count(F.lit(1)).alias("n"))

@@ -101,14 +101,12 @@ def graph_search_dist2(spark, folder):
     return best.select("qid", "word", (F.col("score2") / 20.0).alias("score"), "rank")
 
 
-BATCH_SQL = (
-    P.with_(*CHAT_GRAPH, ASKED_ITEMS)
-    + """, scores AS (SELECT qid, src AS word, CAST(sum(micro) AS BIGINT) AS score
+BEST_SQL = """, scores AS (SELECT qid, src AS word, CAST(sum(micro) AS BIGINT) AS score
            FROM asked JOIN graph ON dst = word GROUP BY qid, src)
          SELECT qid, word, score, CAST(rank AS INTEGER) AS rank FROM (
            SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, word) AS rank FROM scores)
          WHERE rank <= 10"""
-)
+BATCH_SQL = P.with_(*CHAT_GRAPH, ASKED_ITEMS) + BEST_SQL
 
 
 @query("search_batch_topk", BATCH_SQL)
@@ -122,6 +120,16 @@ def search_batch_indexed(spark, folder):
     return Q.batch_top_k_indexed(chat_graph(spark, folder), asked_items(spark, folder), "micro", 10)
 
 
+@query(
+    "page_search_topk",
+    P.with_(P.PAGE_TEXT, P.BAGS, P.WEIGHTS_V1, P.EDGES_V1, P.SUMMED, P.GRAPH_V1, ASKED_ITEMS) + BEST_SQL,
+)
+def page_search_topk(spark, folder):
+    """The same batch over the graph of the visible text of whole pages."""
+    graph = written(V.graph_v1(V.page_text(spark, folder)), "graph")
+    return Q.batch_top_k(graph, asked_items(spark, folder), "micro", 10)
+
+
 PATTERNS = ("th*e?", "?e?", "*ING", "q*")
 
 

@@ -42,12 +42,19 @@ BAG_TEXT = """bag_text AS (
   UNION ALL SELECT 'associated', item_id, text FROM benchmark)"""
 
 CHAT_TEXT = """bag_text AS (
-  SELECT CASE role WHEN 'user' THEN 'clues' WHEN 'assistant' THEN 'definitions'
-              ELSE 'examples' END AS category,
+  SELECT CASE WHEN role = 'user' THEN 'clues' WHEN role = 'assistant' AND turn % 4 = 1 THEN 'definitions'
+              WHEN role = 'assistant' THEN 'associated' ELSE 'examples' END AS category,
          concat_ws(':', conv_id, turn) AS src_id, text FROM conversations
-  UNION ALL SELECT 'equivalents', CAST(item_id AS VARCHAR), text FROM benchmark
-  UNION ALL SELECT 'associated', CAST(page_id AS VARCHAR),
-         regexp_extract(html, '<title>([^<]*)</title>', 1) FROM pages)"""
+  UNION ALL SELECT 'equivalents', CAST(item_id AS VARCHAR), text FROM benchmark)"""
+
+#: visible text of whole pages: scripts, styles, comments, tags and references become blanks
+PAGE_TEXT = r"""bag_text AS (
+  SELECT CASE regexp_extract(html, '<html lang="([^"]*)"', 1) WHEN 'en' THEN 'clues' WHEN 'fr' THEN 'definitions'
+              WHEN 'de' THEN 'examples' ELSE 'equivalents' END AS category,
+         page_id AS src_id,
+         regexp_replace(regexp_replace(html,
+           '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g'),
+           '&#?[A-Za-z0-9]+;', ' ', 'g') AS text FROM pages)"""
 
 #: tumbling entries of eight tokens: two headwords, then up to six definition tokens
 BAGS = f"""bag_tokens AS (

@@ -40,19 +40,33 @@ def document_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chat_text(spark: SparkSession, folder: str) -> DataFrame:
-    """``(category, src_id, text)``: conversation turns by role, benchmark items, page titles."""
+    """``(category, src_id, text)``: conversation turns by role and turn, benchmark items."""
     role = F.col("role")
     category = (
-        F.when(role == "user", "clues").when(role == "assistant", "definitions").otherwise("examples")
+        F.when(role == "user", "clues")
+        .when((role == "assistant") & (F.col("turn") % 4 == 1), "definitions")
+        .when(role == "assistant", "associated")
+        .otherwise("examples")
     )
     turns = spread(table(spark, folder, "conversations")).select(
         category.alias("category"), F.concat_ws(":", "conv_id", "turn").alias("src_id"), "text"
     )
     bench = table(spark, folder, "benchmark").select(F.lit("equivalents"), F.col("item_id").cast("string"), "text")
-    titles = table(spark, folder, "pages").select(
-        F.lit("associated"), F.col("page_id").cast("string"), F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return turns.union(bench)
+
+
+def page_text(spark: SparkSession, folder: str) -> DataFrame:
+    """``(category, src_id, text)``: the whole visible text of every page, by its language."""
+    lang = F.regexp_extract("html", '<html lang="([^"]*)"', 1)
+    category = (
+        F.when(lang == "en", "clues")
+        .when(lang == "fr", "definitions")
+        .when(lang == "de", "examples")
+        .otherwise("equivalents")
+    )
+    return spread(table(spark, folder, "pages")).select(
+        category.alias("category"), F.col("page_id").alias("src_id"), T.visible(F.col("html")).alias("text")
     )
-    return turns.union(bench).union(titles)
 
 
 def token_rows(source: DataFrame) -> DataFrame:
