@@ -10,7 +10,9 @@ that reaches it adds its own largest-sum subtree.  From the heart the choice wid
 whose other text is no list of links, so headings beside the paragraphs are kept.
 
 Texts are joined block by block in page order.  Nothing is capped: the whole page is read.
-Defined cases: null and empty pages have an empty text; broken markup is closed as browsers do.
+Defined cases: null and empty pages have an empty text; broken markup is closed as browsers do, in
+time that is linear in the page however deep it is nested; repeated rows are read one by one, and an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -92,41 +94,75 @@ def _marked(attributes: str) -> bool:
     return False
 
 
+class _Open:
+    """The open elements, from the root inwards, and at which depths each name is open.
+
+    Looking a name up costs the same at any depth, so deeply nested and broken pages stay linear.
+    """
+
+    def __init__(self, root: Node):
+        self.path = [root]
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.name, []).append(len(self.path))
+        if node.name in _BLOCK:
+            self.blocks.append(len(self.path))
+        self.path.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Close everything from ``depth`` on."""
+        while len(self.path) > depth:
+            name = self.path.pop().name
+            self.depths[name].pop()
+            if name in _BLOCK:
+                self.blocks.pop()
+
+    def deepest(self, names: frozenset) -> int:
+        """Depth of the innermost open element with one of the names, 0 if there is none."""
+        return max((d[-1] for n in names if (d := self.depths.get(n))), default=0)
+
+
 def parse(page: str) -> Node:
     """The element tree of a page; its root is named ``html``."""
     root = Node("html", None)
+    opened_now = _Open(root)
     body: Node | None = None
-    here, at, size = root, 0, len(page)
+    at, size = 0, len(page)
+
+    def to_body(attributes: str) -> None:
+        nonlocal body
+        if body is None:
+            opened_now.cut(1)
+            body = _child(root, "body", attributes)
+            opened_now.push(body)
+        else:
+            opened_now.cut(2)
 
     def close(names: frozenset, stops: frozenset) -> None:
-        nonlocal here
-        node = here
-        while node is not None and node.name not in stops:
-            if node.name in names and node.parent is not None:
-                here = node.parent
-                return
-            node = node.parent
+        depth = opened_now.deepest(names)
+        if depth > opened_now.deepest(stops):
+            opened_now.cut(depth)
 
     while at < size:
         found = _TOKEN.search(page, at)
         if found is None:
-            here.parts.append(page[at:])
+            opened_now.path[-1].parts.append(page[at:])
             break
         if found.start() > at:
-            if here.name in ("html", "head") and page[at : found.start()].strip():
-                here = body = body or _child(root, "body", "")
-            here.parts.append(page[at : found.start()])
+            if opened_now.path[-1].name in ("html", "head") and page[at : found.start()].strip():
+                to_body("")
+            opened_now.path[-1].parts.append(page[at : found.start()])
         at = found.end()
         ended, opened, attributes = found[1], found[2] or found[4], found[3] or found[5] or ""
         if ended:
             name = ended.lower()
-            node = here
-            while node.parent is not None and node.name != name:
-                if name not in _BLOCK and node.name in _BLOCK:
-                    break  # an inline end tag does not close blocks
-                node = node.parent
-            if node.name == name and node.parent is not None and name != "body":
-                here = node.parent
+            depth = opened_now.deepest(frozenset((name,)))
+            # an inline end tag does not close blocks
+            crossed = name not in _BLOCK and opened_now.blocks and opened_now.blocks[-1] > depth
+            if depth and not crossed and name != "body":
+                opened_now.cut(depth)
             continue
         if not opened:
             continue
@@ -134,23 +170,23 @@ def parse(page: str) -> Node:
         if name == "html":
             continue
         if name == "body":
-            body = body or _child(root, "body", attributes)
-            here = body
+            to_body(attributes)
             continue
+        here = opened_now.path[-1]
         if here.name == "head" and name not in _HEAD or here is root and name != "head" and name not in _HEAD:
-            here = body = body or _child(root, "body", "")
+            to_body("")
         if name in _BLOCK:
             close(frozenset(("p",)), frozenset(("button", "td", "th", "table", "object")))
         if name in _ENDS:
             close(*_ENDS[name])
-        node = _child(here, name, attributes)
+        node = _child(opened_now.path[-1], name, attributes)
         if name in _VOID or attributes.endswith("/") and name in ("svg", "path"):
             continue
         if name in _RAW:
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        here = node
+        opened_now.push(node)
     return root
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -396,3 +397,17 @@ def test_embedding_dedup(spark):
     for piece in (7, 4096):
         assert Counter(collected(embedding_dedup.near_duplicates(frame, piece=piece))) == Counter(want)
     assert embedding_dedup.near_duplicates(frame.where("false")).count() == 0
+
+
+def test_deep_pages_take_linear_time_and_rows_stay_apart(spark, nothing):
+    started = time.process_time()
+    assert main_text("<div>" * 40_000 + "deep text") == "deep text"
+    assert main_text("<b>" * 20_000 + "</i>" * 20_000 + "marks") == "marks"
+    assert time.process_time() - started < 10
+    page = "<body><article><p>One.</p><p>Two &amp; three.</p></article><footer>f</footer></body>"
+    rows = [(1, page, "x"), (1, page, "x"), (None, None, None), (2, "", "y"), (3, "<p>" + "word " * 50_000, "z")]
+    frame = spark.createDataFrame(rows, "page_id int, html string, text string")
+    found = frame.select("page_id", extract("html").alias("found")).collect()
+    assert [r.found for r in found][:4] == ["One.\nTwo & three."] * 2 + ["", ""]
+    assert len(found[4].found) == 249_999
+    assert frame.limit(0).select(extract("html")).count() == 0
