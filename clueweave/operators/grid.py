@@ -133,9 +133,12 @@ def rebuild(spans: DataFrame, filled: DataFrame) -> DataFrame:
 
 
 def validation(items: DataFrame) -> DataFrame:
-    """``(cwid, rule, n)`` for every broken rule, instead of an exception per puzzle."""
+    """``(cwid, rule, n)`` for every broken rule, instead of an exception per puzzle.
 
-    is_legal, is_empty = F.col("dir").isin(*LEGAL), F.col("word") == ""
+    A missing word is an empty one, a missing direction none of the legal ones.
+    """
+    is_legal = F.coalesce(F.col("dir").isin(*LEGAL), F.lit(False))
+    is_empty = F.coalesce(F.col("word") == "", F.lit(True))
     counted = items.groupBy("cwid").agg(
         F.count_if(is_empty).alias("empty"),
         F.count_if(~is_legal).alias("turned"),

@@ -126,18 +126,42 @@ def grid_word_rebuild(spark, folder):
     return R.rebuild(spans, R.cells(items))
 
 
+#: line items as words, some of them emptied or turned, and whole puzzles of empty words
+BROKEN = (
+    GRID.replace(ITEMS, ITEMS.replace("items AS (", "whole AS (") + """,
+placed AS (
+  SELECT cwid, wid, x, y, CASE WHEN wid % 41 = 0 OR cwid % 101 = 0 THEN '' ELSE word END AS word, clue,
+         CASE WHEN wid % 37 = 0 THEN 'North' WHEN wid % 43 = 0 THEN NULL ELSE dir END AS dir FROM whole),
+items AS (SELECT * FROM placed WHERE dir IN ('East', 'South'))""")
+    .replace("FROM items)),", "FROM items WHERE word <> '')),")
+)
+
+
 @query(
     "grid_validation",
-    GRID
+    BROKEN
     + """SELECT cwid, 'overlap' AS rule, count(*) AS n FROM conflicts GROUP BY cwid
          UNION ALL
          SELECT g.cwid, 'clue count', abs(g.n - coalesce(f.n, 0))
          FROM (SELECT cwid, count(*) AS n FROM uniq GROUP BY cwid) g
          LEFT JOIN (SELECT cwid, count(*) AS n FROM found GROUP BY cwid) f ON f.cwid = g.cwid
-         WHERE g.n <> coalesce(f.n, 0)""",
+         WHERE g.n <> coalesce(f.n, 0)
+         UNION ALL SELECT cwid, 'empty word', count(*) FROM placed WHERE word = '' GROUP BY cwid
+         UNION ALL SELECT cwid, 'direction', count(*) FROM placed
+                   WHERE dir IS NULL OR dir NOT IN ('East', 'South') GROUP BY cwid
+         UNION ALL SELECT cwid, 'empty grid', CAST(1 AS BIGINT) FROM placed GROUP BY cwid
+                   HAVING count(*) FILTER (dir IN ('East', 'South') AND word <> '') = 0""",
 )
 def grid_validation(spark, folder):
-    return R.validation(V.placed_words(spark, folder))
+    """All rules over puzzles of which some are broken on purpose."""
+    wid, emptied = F.col("wid"), (F.col("wid") % 41 == 0) | (F.col("cwid") % 101 == 0)
+    items = V.placed_words(spark, folder).withColumns(
+        {
+            "word": F.when(emptied, "").otherwise(F.col("word")),
+            "dir": F.when(wid % 37 == 0, "North").when(wid % 43 != 0, F.col("dir")),
+        }
+    )
+    return R.validation(items)
 
 
 @query("grid_cell_count", GRID + "SELECT cwid, count(*) AS missing FROM conflicts GROUP BY cwid")
