@@ -3,21 +3,200 @@
 Coordinates are 0-based, x to the right and y down; only East and South words are legal.
 Duplicates are merged by cell or by entry before any window or list, so a group is never
 larger than the grid it describes.
+
+Functions named ``..._of`` work on the arrays of one puzzle, :func:`puzzles` brings its words
+together.  Jobs that need several views of a puzzle shuffle its words once and find the rest
+inside its row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clueweave.functions.directions import step_x, step_y
 from clueweave.functions.text import sanitize_clue
+from clueweave.operators.unnest import each_struct, named
 
 BLACK = "."
 LEGAL = ("East", "South")
 SHORTEST, LONGEST, CLUE_LIMIT = 2, 17, 100
 
 
+def puzzles(items: DataFrame, *more: Column) -> DataFrame:
+    """One row per puzzle: its different placed words ``(y, x, dir, word)`` as a sorted array
+    ``items``, and the aggregates ``more``."""
+    placed = F.array_sort(F.collect_set(F.struct("y", "x", "dir", "word")))
+    return items.repartition("cwid").groupBy("cwid").agg(placed.alias("items"), *more)
+
+
+#: stands for a missing coordinate within a code
+_MISSING = -(1 << 31)
+
+
+def code(line: Column, at: Column) -> Column:
+    """Line and place on it in one number, so that neighbours on a line differ by one."""
+    high, low = (F.coalesce(c, F.lit(_MISSING)).cast("bigint") for c in (line, at))
+    return F.shiftleft(high, 32) + low
+
+
+def _low(number: Column) -> Column:
+    return F.shiftright(F.shiftleft(number, 32), 32)
+
+
+def _turned(number: Column) -> Column:
+    """The code with line and place exchanged."""
+    return named(_low(number), lambda at: F.shiftleft(at, 32) + F.shiftright(number - at, 32))
+
+
+def _place(number: Column) -> tuple[Column, Column]:
+    """Line and place of a code."""
+    at = _low(number)
+    plain = lambda c: F.when(c != _MISSING, c).cast("int")
+    return plain(F.shiftright(number - at, 32)), plain(at)
+
+
+def coded(cells: Column, *keep: str) -> Column:
+    """Cells ``(code, letter)`` by row of cells ``(x, y, letter)``, sorted."""
+    return F.array_sort(
+        F.transform(
+            cells, lambda c: F.struct(code(c["y"], c["x"]).alias("code"), c["letter"].alias("letter"), *[c[k].alias(k) for k in keep])
+        )
+    )
+
+
+def letters_of(items: Column) -> Column:
+    """Letters ``(code, letter)`` of the placed words, sorted; crossings give one per word."""
+
+    def spelled(e: Column) -> Column:
+        down = F.when(e["y"].isNotNull(), step_y(e["dir"])).otherwise(0)
+        along = F.when(e["x"].isNotNull(), step_x(e["dir"])).otherwise(0)
+        step = F.shiftleft(down.cast("bigint"), 32) + along
+        word = F.struct(code(e["y"], e["x"]).alias("code"), step.alias("step"), F.split(e["word"], "").alias("letters"))
+        return named(
+            word,
+            lambda w: F.transform(
+                w["letters"], lambda c, i: F.struct((w["code"] + i * w["step"]).alias("code"), c.alias("letter"))
+            ),
+        )
+
+    return F.array_sort(F.flatten(F.transform(F.filter(items, lambda e: e["word"] != ""), spelled)))
+
+
+def cells_of(letters: Column) -> Column:
+    """Filled cells of sorted letters; a contested cell keeps its alphabetically first letter."""
+
+    def merged(found: Column) -> Column:
+        return F.filter(found, lambda c, i: (i == 0) | (c["code"] != F.get(found, i - 1)["code"]))
+
+    return named(letters, merged)
+
+
+def contested_of(letters: Column) -> Column:
+    """Cells of sorted letters in which words disagree."""
+
+    def split_up(found: Column) -> Column:
+        of = lambda i: F.get(found, i)["code"]
+        return F.filter(
+            found, lambda c, i: c["code"].eqNullSafe(of(i + 1)) & ((i == 0) | (c["code"] != of(i - 1)))
+        )
+
+    return named(F.array_distinct(letters), split_up)
+
+
+def size_of(items: Column) -> tuple[Column, Column]:
+    """Width and height of a grid."""
+
+    def most(place: str, direction: str) -> Column:
+        def end(e: Column) -> Column:
+            return e[place] + F.when(e["dir"] == direction, F.length(e["word"]) - 1).otherwise(0)
+
+        return F.array_max(F.transform(items, end)) + 1
+
+    return most("x", "East"), most("y", "South")
+
+
+def lines_of(cells: Column, width: Column, height: Column) -> Column:
+    """Rows ``(y, line)`` of a grid from its sorted cells, black cells as dots."""
+
+    def line(y: Column) -> Column:
+        begin = F.shiftleft(y.cast("bigint"), 32)
+
+        def drawn(row: Column) -> Column:
+            def gap(to: Column, i: Column) -> Column:
+                before = F.coalesce(F.get(row, i)["code"], begin - 1)
+                return F.repeat(F.lit(BLACK), (to - before - 1).cast("int"))
+
+            placed = F.transform(row, lambda c, i: F.concat(gap(c["code"], i - 1), c["letter"]))
+            return F.concat(F.array_join(placed, ""), gap(begin + width, F.size(row) - 1))
+
+        row = F.filter(cells, lambda c: c["code"].between(begin, begin + width - 1))
+        return F.struct(y.alias("y"), named(row, drawn).alias("line"))
+
+    return F.transform(F.sequence(F.lit(0), height - 1), line)
+
+
+def words_of(cells: Column, *keep: str) -> Column:
+    """Runs of at least two neighbouring cells ``(x, y, word, dir)``, across and down, with the
+    fields ``keep`` of their first cell; cells ``(code, letter)`` as by :func:`coded`."""
+
+    def runs(ordered: Column, direction: str) -> Column:
+        def cut(row: Column) -> Column:
+            at = lambda i: F.get(row, i)["code"]
+            places = F.transform(row, lambda c, i: i)
+
+            def begins(i: Column) -> Column:
+                return (at(i) + 1).eqNullSafe(at(i + 1)) & ((i == 0) | (at(i) - 1 != at(i - 1)))
+
+            def ends(i: Column) -> Column:
+                return (i > 0) & (at(i) - 1).eqNullSafe(at(i - 1)) & ~(at(i) + 1).eqNullSafe(at(i + 1))
+
+            def word(first: Column, last: Column) -> Column:
+                cell, run = F.get(row, first), F.slice(row, first + 1, last - first + 1)
+                line, place = _place(cell["code"])
+                x, y = (place, line) if direction == "East" else (line, place)
+                return F.struct(
+                    x.alias("x"), y.alias("y"), F.array_join(run["letter"], "").alias("word"),
+                    F.lit(direction).alias("dir"), *[cell[k].alias(k) for k in keep],
+                )
+
+            return F.zip_with(F.filter(places, begins), F.filter(places, ends), word)
+
+        return named(ordered, cut)
+
+    def by_column(c: Column) -> Column:
+        return F.struct(_turned(c["code"]).alias("code"), c["letter"].alias("letter"), *[c[k].alias(k) for k in keep])
+
+    return F.concat(runs(cells, "East"), runs(F.array_sort(F.transform(cells, by_column)), "South"))
+
+
+def shown_in(cells: Column, span: Column) -> Column:
+    """Letters that sorted cells show from ``x1, y1`` to ``x2, y2``; '' if none."""
+    across = span["x2"] > span["x1"]
+    steps = F.greatest(span["x2"] - span["x1"], span["y2"] - span["y1"]).cast("bigint")
+    begin = F.when(span["x1"].isNotNull() & span["y1"].isNotNull(), code(span["y1"], span["x1"]))
+    reach = F.when(across, steps).otherwise(F.shiftleft(steps, 32))
+    line = F.struct(
+        (begin + F.least(F.lit(0), reach)).alias("low"), (begin + F.greatest(F.lit(0), reach)).alias("high"),
+        begin.alias("begin"), across.alias("across"),
+    )
+
+    def read(line: Column) -> Column:
+        def inside(c: Column) -> Column:
+            return c["code"].between(line["low"], line["high"]) & (
+                line["across"] | (_low(c["code"] - line["begin"]) == 0)
+            )
+
+        return F.array_join(F.filter(cells, inside)["letter"], "")
+
+    return named(line, read)
+
+
+def grids(items: DataFrame) -> DataFrame:
+    """``(cwid, items, cells)``: one row per puzzle with its words and its filled cells."""
+    return puzzles(items).select("cwid", "items", cells_of(letters_of(F.col("items"))).alias("cells"))
+
+
 def letters(items: DataFrame, *keep: str) -> DataFrame:
     """One row per letter of every placed word (crossings give one row per word)."""
     exploded = items.where("word <> ''").select(
@@ -54,18 +233,12 @@ def extents(items: DataFrame) -> DataFrame:
 
 def lines(items: DataFrame) -> DataFrame:
     """Text of every grid row, black cells as dots."""
-    filled = cells(items).groupBy("cwid", "y").agg(
-        F.map_from_entries(F.collect_list(F.struct("x", "letter"))).alias("row")
+    shown = named(
+        F.struct("cells", *[n.alias(name) for n, name in zip(size_of(F.col("items")), ("width", "height"))]),
+        # a puzzle without an id has no cells of its own
+        lambda g: lines_of(F.when(F.col("cwid").isNotNull(), g["cells"]).otherwise(F.slice(g["cells"], 1, 0)), g["width"], g["height"]),
     )
-    rows = extents(items).select("cwid", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-    text = F.array_join(
-        F.transform(
-            F.sequence(F.lit(0), F.col("width") - 1),
-            lambda i: F.coalesce(F.try_element_at("row", i), F.lit(BLACK)),
-        ),
-        "",
-    )
-    return rows.join(filled, ["cwid", "y"], "left").select("cwid", "y", text.alias("line"))
+    return each_struct(grids(items), shown, "y", "cwid")
 
 
 def numbering(items: DataFrame) -> DataFrame:
@@ -94,42 +267,36 @@ def clue_lists(items: DataFrame) -> DataFrame:
 
 
 def words_from_cells(filled: DataFrame) -> DataFrame:
-    """Runs of at least two neighbouring cells, across and down (gaps and islands)."""
-
-    def runs(along, line, direction):
-        place = Window.partitionBy("cwid", line).orderBy(along)
-        marked = filled.withColumn("island", F.col(along) - F.row_number().over(place))
-        ordered = F.array_sort(F.collect_list(F.struct(F.col(along).alias("at"), "letter")))
-        return (
-            marked.groupBy("cwid", line, "island")
-            .agg(F.min(along).alias("start"), ordered.alias("run"))
-            .where(F.size("run") >= 2)
-            .select(
-                "cwid",
-                F.col("start").alias(along),
-                line,
-                F.array_join("run.letter", "").alias("word"),
-                F.lit(direction).alias("dir"),
-            )
-        )
+    """Runs of at least two neighbouring cells, across and down: of rows ``(cwid, x, y, letter)``
+    or of :func:`grids`, which hold the cells of a puzzle already."""
+    if "cells" not in filled.columns:
+        filled = _gathered(filled)
+    return each_struct(filled, named(F.col("cells"), lambda cells: words_of(cells)), "word", "cwid")
+
 
-    return runs("x", "y", "East").unionByName(runs("y", "x", "South"))
+def _gathered(filled: DataFrame) -> DataFrame:
+    cells = filled.repartition("cwid").groupBy("cwid").agg(F.collect_list(F.struct("x", "y", "letter")).alias("c"))
+    return cells.select("cwid", coded(F.col("c")).alias("cells"))
 
 
 def rebuild(spans: DataFrame, filled: DataFrame) -> DataFrame:
     """Words of clue spans ``(cwid, x1, y1, x2, y2)`` read back from the cells."""
-    steps = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    unit = F.when(F.col("x2") > F.col("x1"), 1).otherwise(0)
-    wanted = spans.distinct().withColumn("i", F.explode(F.sequence(F.lit(0), steps)))
-    placed = wanted.withColumn("x", F.col("x1") + F.col("i") * unit).withColumn(
-        "y", F.col("y1") + F.col("i") * (1 - unit)
-    )
-    read = F.array_sort(F.collect_list(F.struct("i", "letter")))
-    return (
-        placed.join(filled, ["cwid", "x", "y"])
-        .groupBy("cwid", "x1", "y1", "x2", "y2")
-        .agg(F.array_join(read["letter"], "").alias("word"))
-    )
+    ends = ("x1", "y1", "x2", "y2")
+    wanted = spans.repartition("cwid").groupBy("cwid").agg(F.collect_set(F.struct(*ends)).alias("spans"))
+    return rebuilt(wanted.join(_gathered(filled), "cwid"))
+
+
+def rebuilt(found: DataFrame) -> DataFrame:
+    """:func:`rebuild` for puzzles ``(cwid, spans, cells)`` whose parts stand in one row."""
+
+    def read(cells: Column) -> Column:
+        def word(s: Column) -> Column:
+            ends = [s[n].alias(n) for n in ("x1", "y1", "x2", "y2")]
+            return F.struct(*ends, F.nullif(shown_in(cells, s), F.lit("")).alias("word"))
+
+        return F.transform("spans", word)
+
+    return each_struct(found.where("cwid IS NOT NULL"), named(F.col("cells"), read), "word", "cwid")
 
 
 def validation(items: DataFrame) -> DataFrame:
@@ -139,7 +306,8 @@ def validation(items: DataFrame) -> DataFrame:
     """
     is_legal = F.coalesce(F.col("dir").isin(*LEGAL), F.lit(False))
     is_empty = F.coalesce(F.col("word") == "", F.lit(True))
-    counted = items.groupBy("cwid").agg(
+    counted = puzzles(
+        items,
         F.count_if(is_empty).alias("empty"),
         F.count_if(~is_legal).alias("turned"),
         F.count_if(is_legal & ~is_empty).alias("usable"),
@@ -148,45 +316,69 @@ def validation(items: DataFrame) -> DataFrame:
     def rule(name, n):
         return F.struct(F.lit(name).alias("rule"), n.cast("bigint").alias("n"))
 
-    alone = F.array(
-        rule("empty word", F.col("empty")),
-        rule("direction", F.col("turned")),
-        rule("empty grid", F.col("usable") == 0),
-    )
-    legal = items.where(is_legal)
-    filled = cells(legal)
-    found = words_from_cells(filled).groupBy("cwid").agg(F.count(F.lit(1)).alias("found"))
-    given = unique_entries(legal).groupBy("cwid").agg(F.count(F.lit(1)).alias("given"))
-    wrong_count = given.join(found, "cwid", "left").select(
-        "cwid",
-        F.lit("clue count").alias("rule"),
-        F.abs(F.col("given") - F.coalesce("found", F.lit(0))).alias("n"),
-    ).where("n > 0")
-    overlaps = conflicts(legal).groupBy("cwid").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        counted.select("cwid", F.inline(alone)).where("n > 0")
-        .unionByName(overlaps.select("cwid", F.lit("overlap").alias("rule"), "n"))
-        .unionByName(wrong_count)
+    def counts(puzzle):
+        entries = F.array_distinct(F.transform(puzzle["legal"], lambda e: F.struct(e["y"], e["x"], e["dir"])))
+        # a puzzle without an id has no cells of its own
+        found = F.when(F.col("cwid").isNull(), 0).otherwise(F.size(words_of(puzzle["cells"])))
+        return F.array(
+            rule("empty word", F.col("empty")),
+            rule("direction", F.col("turned")),
+            rule("empty grid", F.col("usable") == 0),
+            rule("overlap", F.size(contested_of(puzzle["letters"]))),
+            rule("clue count", F.abs(F.size(entries) - found)),
+        )
+
+    legal = F.filter("items", lambda e: F.coalesce(e["dir"].isin(*LEGAL), F.lit(False)))
+    with_letters = named(legal, lambda e: F.struct(e.alias("legal"), letters_of(e).alias("letters")))
+    with_cells = named(
+        with_letters,
+        lambda p: F.struct(p["legal"].alias("legal"), p["letters"].alias("letters"), cells_of(p["letters"]).alias("cells")),
     )
+    broken = F.filter(named(with_cells, counts), lambda r: r["n"] > 0)
+    return each_struct(counted, broken, "rule", "cwid")
+
+
+def cell_counts(items: DataFrame) -> DataFrame:
+    """``(cwid, width, height, n_blank, n_solved)``: black cells of the drawn lines and cells with
+    an undisputed letter."""
+
+    def counts(p: Column) -> Column:
+        def black(row: Column) -> Column:
+            return F.size(F.filter(F.split(row["line"], ""), lambda cell: cell == BLACK))
+
+        own = F.when(F.col("cwid").isNotNull(), p["cells"]).otherwise(F.slice(p["cells"], 1, 0))
+        drawn = F.coalesce(lines_of(own, p["width"], p["height"]), F.array().cast("array<struct<y:int,line:string>>"))
+        shown = F.filter(drawn, lambda row: row["line"].isNotNull())
+        return F.struct(
+            p["width"].alias("width"), p["height"].alias("height"),
+            F.aggregate(F.transform(shown, black), F.lit(0), lambda a, n: a + n).alias("n_blank"),
+            (F.size(p["cells"]) - F.size(p["contested"])).alias("n_solved"),
+        )
+
+    width, height = size_of(F.col("items"))
+    parts = named(
+        letters_of(F.col("items")),
+        lambda found: F.struct(
+            cells_of(found).alias("cells"), contested_of(found).alias("contested"),
+            width.alias("width"), height.alias("height"),
+        ),
+    )
+    return puzzles(items).select("cwid", named(parts, counts).alias("c")).select("cwid", "c.*")
 
 
 def cell_count_check(sizes: DataFrame, blanks: DataFrame, solved: DataFrame) -> DataFrame:
     """Puzzles for which width x height - blanks is not the number of solved cells."""
     n_blank = blanks.groupBy("cwid").agg(F.count(F.lit(1)).alias("n_blank"))
     n_solved = solved.groupBy("cwid").agg(F.count(F.lit(1)).alias("n_solved"))
+    return gaps(sizes.join(n_blank, "cwid", "left").join(n_solved, "cwid", "left"))
+
+
+def gaps(counted: DataFrame) -> DataFrame:
+    """:func:`cell_count_check` for :func:`cell_counts`; a missing count is none."""
     zero = F.lit(0)
-    return (
-        sizes.join(n_blank, "cwid", "left")
-        .join(n_solved, "cwid", "left")
-        .withColumn(
-            "missing",
-            F.col("width") * F.col("height")
-            - F.coalesce("n_blank", zero)
-            - F.coalesce("n_solved", zero),
-        )
-        .where("missing <> 0")
-        .select("cwid", "missing")
-    )
+    filled = F.coalesce("n_blank", zero) + F.coalesce("n_solved", zero)
+    missing = (F.col("width") * F.col("height") - filled).cast("bigint")
+    return counted.select("cwid", missing.alias("missing")).where("missing <> 0")
 
 
 def fan_out(clues: DataFrame, *arrays: str) -> DataFrame:

@@ -96,7 +96,7 @@ def grid_clue_lists(spark, folder):
 
 @query("grid_words_from_cells", GRID + "SELECT cwid, x, y, word, dir FROM found")
 def grid_words_from_cells(spark, folder):
-    return R.words_from_cells(R.cells(V.placed_words(spark, folder)))
+    return R.words_from_cells(R.grids(V.placed_words(spark, folder)))
 
 
 SPANS = """spans AS (
@@ -113,17 +113,18 @@ SPANS = """spans AS (
          GROUP BY ALL""",
 )
 def grid_word_rebuild(spark, folder):
-    items = V.placed_words(spark, folder)
-    reach = F.length("word") - 1
-    east = F.col("dir") == "East"
-    spans = items.select(
-        "cwid",
-        F.col("x").alias("x1"),
-        F.col("y").alias("y1"),
-        (F.col("x") + F.when(east, reach).otherwise(0)).alias("x2"),
-        (F.col("y") + F.when(east, 0).otherwise(reach)).alias("y2"),
-    )
-    return R.rebuild(spans, R.cells(items))
+    def span(e):
+        reach = F.length(e["word"]) - 1
+        east = e["dir"] == "East"
+        return F.struct(
+            e["x"].alias("x1"),
+            e["y"].alias("y1"),
+            (e["x"] + F.when(east, reach).otherwise(0)).alias("x2"),
+            (e["y"] + F.when(east, 0).otherwise(reach)).alias("y2"),
+        )
+
+    puzzles = R.grids(V.placed_words(spark, folder))
+    return R.rebuilt(puzzles.withColumn("spans", F.array_distinct(F.transform("items", span))))
 
 
 #: line items as words, some of them emptied or turned, and whole puzzles of empty words
@@ -167,10 +168,7 @@ def grid_validation(spark, folder):
 @query("grid_cell_count", GRID + "SELECT cwid, count(*) AS missing FROM conflicts GROUP BY cwid")
 def grid_cell_count(spark, folder):
     """Grids whose size, black cells and undisputed letters do not add up."""
-    items = V.placed_words(spark, folder)
-    black = R.lines(items).select("cwid", F.explode(F.split("line", "")).alias("cell")).where("cell = '.'")
-    solved = R.cells(items).join(R.conflicts(items), ["cwid", "x", "y"], "left_anti")
-    return R.cell_count_check(R.extents(items), black, solved)
+    return R.gaps(R.cell_counts(V.placed_words(spark, folder)))
 
 
 @query(
