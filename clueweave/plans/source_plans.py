@@ -154,12 +154,12 @@ def matrix_csv_load(spark, folder):
 
 @query(
     "stem_index_file",
-    P.with_(P.CHAT_TEXT, P.BAGS, P.STEMS)
+    P.with_(P.CHAT_PAGES, P.BAGS, P.STEMS)
     + "SELECT coalesce(r.stem, v.form) AS stem, v.form FROM vocab v LEFT JOIN reduced r USING (form)",
 )
 def stem_index_file(spark, folder):
     path = fresh_path(spark, "stem-index")
-    vocabulary = V.vocabulary(V.chat_text(spark, folder))
+    vocabulary = V.vocabulary(V.chat_page_text(spark, folder))
     bag_text.write_stem_index(S.stem_index(vocabulary, S.derive_stems(vocabulary)), path)
     return bag_text.read_stem_index(spark, path)
 

@@ -223,13 +223,13 @@ def bag_clean(spark, folder):
 
 @query(
     "bag_text_v1",
-    P.with_(P.CHAT_TEXT, P.BAGS)
+    P.with_(P.CHAT_PAGES, P.BAGS)
     + """SELECT category, array_to_string(words, ',') AS words, array_to_string(defs, ',') AS defs
          FROM clean_bags""",
 )
 def bag_text_v1(spark, folder):
     path = fresh_path(spark, "bags-v1")
-    bag_text.write_v1(V.clean_bags(V.chat_text(spark, folder)), path)
+    bag_text.write_v1(V.clean_bags(V.chat_page_text(spark, folder)), path)
     return bag_text.read_v1(spark, path).select(
         "category", F.array_join("words", ",").alias("words"), F.array_join("defs", ",").alias("defs")
     )
@@ -247,7 +247,7 @@ def bag_text_v1(spark, folder):
 )
 def bag_text_v2(spark, folder):
     path = fresh_path(spark, "bags-v2")
-    bag_text.write_v2(V.stemmed_bags(V.chat_text(spark, folder)), path)
+    bag_text.write_v2(V.stemmed_bags(V.chat_page_text(spark, folder)), path)
     fields = [F.array_join(f, ",").alias(f) for f in bag_text.V2_FIELDS]
     return bag_text.read_v2(spark, path).select("category", *fields)
 

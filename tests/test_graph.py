@@ -209,3 +209,20 @@ def test_bags_of_records(spark):
     assert [(r.words, r.defs) for r in cleaned.collect()] == [(["CAT"], ["A", "PET"])]
     weighed = B.weigh(spark.createDataFrame([("clues",), ("nothing",)], "category string"))
     assert rows(weighed) == [("clues", 10), ("nothing", 0)]
+
+
+def test_chat_source_holds_whole_pages(spark, tmp_path):
+    from clueweave.plans import standins as V
+
+    html = '<html lang="fr"><title>Cats</title><script>x()</script><p>purr &amp; sleep</p></html>'
+    tables = {
+        "conversations": ([(1, 0, "user", "ask"), (1, 1, "assistant", "say"), (1, 3, "assistant", None)], "conv_id bigint, turn bigint, role string, text string"),
+        "benchmark": ([(7, "item")], "item_id bigint, text string"),
+        "pages": ([(3, "u", html), (4, "v", None)], "page_id bigint, url string, html string"),
+    }
+    for name, (found, schema) in tables.items():
+        spark.createDataFrame(found, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    source = V.token_rows(V.chat_page_text(spark, str(tmp_path)))
+    got = {(r.category, r.src_id): r.toks for r in source.where("toks IS NOT NULL").collect()}
+    assert got[("associated", "3")] == ["CATS", "PURR", "SLEEP"]
+    assert got[("definitions", "1:1")] == ["SAY"] and got[("clues", "1:0")] == ["ASK"] and got[("equivalents", "7")] == ["ITEM"]
