@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,22 +124,29 @@ def write_arrays(
     """Array files of at most ``per_file`` records and ``max_bytes`` bytes (a larger record stands
     alone); record ``i`` of a file lies ``i % (nested + 1)`` arrays deeper than the first."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(held: list[bytes]) -> pa.RecordBatch:
+        whole = pa.py_buffer(b"[" + b",".join(held) + b"]")
+        ends = pa.py_buffer(np.array([0, whole.size], np.int32))
+        return pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(1, ends, whole)], names=["value"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Records stay bytes and are taken one by one, so a worker holds little more than a file."""
         held, size = [], 0
         for batch in batches:
-            for value in batch["value"]:
-                n = len(value.encode()) + 1 + 2 * nested
+            for value in batch.column("value").cast(pa.binary()):
+                record = value.as_py()
+                n = len(record) + 1 + 2 * nested
                 if held and (len(held) == per_file or size + n > max_bytes):
-                    yield pd.DataFrame({"value": ["[" + ",".join(held) + "]"]})
+                    yield packed(held)
                     held, size = [], 0
                 deeper = len(held) % (nested + 1)
-                held.append("[" * deeper + value + "]" * deeper)
+                held.append(b"[" * deeper + record + b"]" * deeper)
                 size += n
         if held:
-            yield pd.DataFrame({"value": ["[" + ",".join(held) + "]"]})
+            yield packed(held)
 
     lines = records.select(F.to_json(F.struct("*")).alias("value"))
-    arrays = lines.mapInPandas(pack, "value string")
+    arrays = lines.mapInArrow(pack, "value string")
     arrays.write.option("maxRecordsPerFile", 1).text(path, compression=codec)
 
 
