@@ -111,3 +111,19 @@ def test_integrity(spark):
     assert rows(pk) == [("items", 2), ("words", 0)]
     assert rows(K.foreign_keys([("items.wid", items, "wid", words, "wid")])) == [("items.wid", 1)]
     assert K.cascade_delete(items, spark.createDataFrame([(1,)], "wid int"), "wid").count() == 2
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_views_of_a_puzzle_shuffle_its_words_once(spark):
+    items = grid(spark, (1, 0, 2, "AXN", "", "East"), (None, 0, 0, "UP", "", "East"), (4, None, 1, "DOG", "", "South"))
+    views = (R.words_from_cells(R.grids(items)), R.lines(items), R.validation(items), R.gaps(R.cell_counts(items)))
+    assert [exchanges(v) for v in views] == [1, 1, 1, 1]
+    found = {tuple(r) for r in R.words_from_cells(R.grids(items)).collect()}
+    assert found == {tuple(r) for r in R.words_from_cells(R.cells(items)).collect()}
+    assert {(r.cwid, r.y, r.line) for r in R.lines(items).collect()} == {
+        (1, 0, "CAT"), (1, 1, "O.E"), (1, 2, "AXN"), (None, 0, ".."),
+        *((4, y, None) for y in range(4)),
+    }

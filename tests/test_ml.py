@@ -210,6 +210,15 @@ def test_hashed_counts_and_collisions(spark):
     assert lost == {1: (3, 1, 3), big: (3, 3, 0)}
 
 
+def test_hashed_counts_meet_once_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(I, "HASHED_PER_TASK", 7)
+    rows = [(d, f"t{i}", i) for d in (*range(20), None) for i in range(1, 6)]
+    tf = spark.createDataFrame(rows, "doc_id int, term string, n bigint")
+    got = I.hashed_counts(tf, spark.createDataFrame([(1,), (26,)], "buckets bigint"))
+    assert got.rdd.getNumPartitions() == 15  # 105 counts, 7 to a task, and no second exchange
+    assert sorted(r.n for r in got.where("buckets = 1").collect()) == [15] * 21
+
+
 def test_split_gains_equal_a_direct_search(spark):
     rng = np.random.default_rng(5)
     y = rng.integers(0, 3, 200)
