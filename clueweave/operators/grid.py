@@ -278,7 +278,7 @@ def lines(items: DataFrame) -> DataFrame:
         # a puzzle without an id has no cells of its own
         lambda g: lines_of(F.when(F.col("cwid").isNotNull(), g["cells"]).otherwise(F.slice(g["cells"], 1, 0)), g["width"], g["height"]),
     )
-    return each_struct(grids(items), shown, "y", "cwid")
+    return each_struct(grids(items), shown, "line", "cwid")
 
 
 def numbering(items: DataFrame) -> DataFrame:

@@ -125,5 +125,4 @@ def test_views_of_a_puzzle_shuffle_its_words_once(spark):
     assert found == {tuple(r) for r in R.words_from_cells(R.cells(items)).collect()}
     assert {(r.cwid, r.y, r.line) for r in R.lines(items).collect()} == {
         (1, 0, "CAT"), (1, 1, "O.E"), (1, 2, "AXN"), (None, 0, ".."),
-        *((4, y, None) for y in range(4)),
-    }
+    }  # fmt: skip; puzzle 4 has no width
