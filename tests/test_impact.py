@@ -85,3 +85,34 @@ def test_retrieval_reads_a_part_of_the_postings(spark):
     assert shape(found) == shape(expected)
     total = read.agg(F.sum("entries").alias("all"), F.sum("entries_read").alias("read")).first()
     assert total.read < total.all / 2
+
+
+def test_sums_keep_few_rows_of_each_group(spark, monkeypatch):
+    """Items are scored in groups and in parts of the queries; nothing but the best of each leaves them."""
+    monkeypatch.setattr(impact, "ENTRIES", 50)
+    monkeypatch.setattr(impact, "ASKED", 7)
+    monkeypatch.setattr(impact, "CELLS", 20)
+    rng = random.Random(5)
+    entries = [(f"k{k}", f"i{i:03d}", rng.randrange(1, 5)) for k in range(8) for i in rng.sample(range(90), 60)]
+    queries = {q: {k: 1 for k in rng.sample([f"k{i}" for i in range(9)], 4)} for q in range(12)}
+    rows = written(spark.createDataFrame(entries + [("k1", None, 9)], "key string, item string, w bigint"), "t")
+    asked = written(spark.createDataFrame([(q, k, f) for q, ks in queries.items() for k, f in ks.items()], "qid int, key string, q int"), "q")
+    got = defaultdict(list)
+    for r in impact.top_of_sums(rows, asked, 3).orderBy("qid", "rank").collect():
+        got[r.qid].append((r.item, r.score))
+    assert dict(got) == full(entries, queries, 3)
+    scored = impact.sums(rows, asked.withColumn("need", F.lit(None).cast("double")), 3).where("item IS NOT NULL")
+    # ten groups of items, tables of at least one item: far fewer rows than queries times items
+    assert scored.groupBy("qid").count().agg(F.max("count")).first()[0] < 90
+
+
+def test_paths_are_found_once_for_each_word(spark):
+    graph = spark.createDataFrame(
+        [("A", "X", 10), ("B", "A", 6), ("B", "X", 1), ("C", "X", 4)], "src string, dst string, tenths bigint"
+    )
+    asked = spark.createDataFrame([(q, w) for q in range(50) for w in ("X", "X", "?")], "qid int, word string")
+    paths = Q.distance_two_paths(graph, asked, "tenths", 10)
+    assert sorted(map(tuple, paths.collect())) == [("X", "A", 20), ("X", "B", 6), ("X", "C", 8)]
+    for expand in (10**9, 1):
+        best = Q.batch_top_k(paths.select("src", F.col("origin").alias("dst"), "w2"), asked, "w2", 2, expand)
+        assert sorted((r.word, r.score, r["rank"]) for r in best.where("qid = 7").collect()) == [("A", 20, 1), ("C", 8, 2)]
