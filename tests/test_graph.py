@@ -226,3 +226,31 @@ def test_chat_source_holds_whole_pages(spark, tmp_path):
     got = {(r.category, r.src_id): r.toks for r in source.where("toks IS NOT NULL").collect()}
     assert got[("associated", "3")] == ["CATS", "PURR", "SLEEP"]
     assert got[("definitions", "1:1")] == ["SAY"] and got[("clues", "1:0")] == ["ASK"] and got[("equivalents", "7")] == ["ITEM"]
+
+
+def test_queries_on_chats_hold_the_words_of_whole_pages():
+    """The rows of a page's body, not only of its title, show in every result."""
+    import duckdb
+
+    from clueweave.plans import ORACLES
+
+    names = """edges_v2_all graph_combine_max graph_two_hop stem_reduce stem_reduce_web text_clean graph_search_dist1
+        graph_search_dist2 search_batch_topk solver_batch eval_hits_at_5 bag_text_v1 bag_text_v2 crossing_counts
+        integrity_fk edges_norm_stem stem_index_file""".split()
+    title = "<html><title>zebra yak the idiot</title></html>"
+    # entries of eight tokens after the title's four: the benchmark's first word stands beside its others
+    pairs = "".join(f"<p>cat {w} {'zebra ' * 6}</p>" for w in ("purr", "sleeps", "the", "idiot"))
+    body = title.replace("</html>", f"<p>cat dogs the idiot</p><p>purr sleeps sleep dog cat dogs purr the</p>{pairs}</html>")
+    found = {}
+    for kind, html in (("title", title), ("body", body)):
+        con = duckdb.connect()
+        con.execute("CREATE TABLE conversations AS SELECT 1 AS conv_id, 0 AS turn, 'user' AS role, 'ask me now' AS text")
+        con.execute("CREATE TABLE benchmark AS SELECT 7 AS item_id, 'cat dogs purr sleeps the idiot' AS text")
+        con.execute("CREATE TABLE pages AS SELECT 3 AS page_id, 'u' AS url, ? AS html", [html])
+        con.execute("CREATE TABLE lineitem AS SELECT 1 AS l_partkey, 1 AS l_orderkey")
+        con.execute("CREATE TABLE part AS SELECT 1 AS p_partkey")
+        con.execute("CREATE TABLE orders AS SELECT 1 AS o_orderkey")
+        con.execute("CREATE TABLE labels AS SELECT 1 AS doc_id")
+        con.execute("CREATE TABLE documents AS SELECT 1 AS doc_id")
+        found[kind] = {name: sorted(map(str, con.execute(ORACLES[name]).fetchall())) for name in names}
+    assert [n for n in names if found["title"][n] == found["body"][n]] == []
