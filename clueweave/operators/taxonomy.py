@@ -84,31 +84,71 @@ def depth(paths: DataFrame) -> DataFrame:
     )
 
 
-def common_ancestor(rows: DataFrame, up: DataFrame) -> DataFrame:
-    """Add ``lca, da, db`` for columns ``a, b``: the common ancestor nearest to both, then by id.
+def _placed(up: DataFrame, values: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``(node, above, of)`` and the lists ``(above, list)`` that they share.
 
-    ``up`` is the result of :func:`with_self`.  The ancestors of one node travel as one
-    array (its length is bounded by the hierarchy above the node), so a pair stays one row
-    and the search happens inside that row.  Without a common ancestor the three are null.
+    ``up`` is the result of :func:`with_self`.  Nodes with the same proper ancestors share one list of
+    ``(anc, dist, of)``, so a pair carries the number of a list through the shuffles and not the list.
+    ``of`` is the value of a node or an ancestor in ``values`` ``(node, value)``, null without one.
     """
-    lists = up.groupBy("node").agg(F.collect_list(F.struct("anc", "dist")).alias("list"))
-    left = lists.select(F.col("node").alias("a"), F.col("list").alias("up_a"))
-    right = lists.select(F.col("node").alias("b"), F.map_from_entries("list").alias("up_b"))
-    both = salted_join(rows, left, ["a"], "a", F.col("b"), how="left")
-    both = salted_join(both, right, ["b"], "b", F.col("a"), how="left", counted=rows)
-    shared = F.filter(F.col("up_a"), lambda x: F.map_contains_key("up_b", x["anc"]))
-    ranked = F.transform(
-        shared,
-        lambda x: F.struct(
-            (x["dist"] + F.element_at("up_b", x["anc"])).alias("total"),
-            x["anc"].alias("lca"),
-            x["dist"].alias("da"),
-            F.element_at("up_b", x["anc"]).alias("db"),
-        ),
+    proper = F.collect_list(F.when(F.col("anc") != F.col("node"), F.struct("anc", "dist")))
+    nodes = written(up.groupBy("node").agg(F.sort_array(proper).alias("list")), "nodes")
+    lists = written(nodes.select("list").distinct().withColumn("above", F.monotonically_increasing_id()), "lists")
+    nodes = nodes.join(lists, "list").select("node", "above")
+    entries = lists.select("above", F.explode_outer("list").alias("e")).select("above", "e.anc", "e.dist")
+    if values is None:
+        nodes, entries = (rows.withColumn("of", F.lit(None).cast("double")) for rows in (nodes, entries))
+    else:
+        nodes = nodes.join(values.select("node", F.col("value").alias("of")), "node", "left")
+        entries = entries.join(values.select(F.col("node").alias("anc"), F.col("value").alias("of")), "anc", "left")
+    held = F.collect_list(F.when(F.col("anc").isNotNull(), F.struct("anc", "dist", "of")))
+    return nodes, written(entries.groupBy("above").agg(held.alias("list")), "above")
+
+
+def _nearest(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """Add ``best`` ``(total, lca, da, db, of)`` to rows ``a, above_a, of_a, b, above_b, of_b``."""
+
+    def side(x):
+        return lists.select(F.col("above").alias(f"above_{x}"), F.col("list").alias(f"list_{x}"))
+
+    both = rows.join(side("a"), "above_a", "left").join(side("b"), "above_b", "left")
+    one = lambda lca, da, db, of: F.struct(
+        (da + db).alias("total"), lca.alias("lca"), da.alias("da"), db.alias("db"), of.alias("of")
     )
-    return both.withColumn("best", F.array_min(ranked)).select(
-        *rows.columns, "best.lca", "best.da", "best.db"
+    a, b, none = F.col("a"), F.col("b"), F.lit(0)
+    shared = F.flatten(
+        F.transform(
+            "list_a",
+            lambda x: F.transform(
+                F.filter("list_b", lambda y: y["anc"] == x["anc"]), lambda y: one(x["anc"], x["dist"], y["dist"], x["of"])
+            ),
+        )
     )
+    over = F.transform(F.filter("list_b", lambda y: y["anc"] == a), lambda y: one(a, none, y["dist"], F.col("of_a")))
+    under = F.transform(F.filter("list_a", lambda x: x["anc"] == b), lambda x: one(b, x["dist"], none, F.col("of_b")))
+    same = F.when((a == b) & F.col("list_a").isNotNull(), F.array(one(a, none, none, F.col("of_a"))))
+    found = F.concat(*[F.coalesce(part, F.array().cast("array<void>")) for part in (shared, over, under, same)])
+    return both.withColumn("best", F.array_min(found))
+
+
+def common_ancestor(rows: DataFrame, up: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """Add ``lca, da, db`` for columns ``a, b``: the common ancestor nearest to both, then by id.
+
+    ``up`` is the result of :func:`with_self`.  The search happens inside the row of a pair, over the
+    lists of :func:`_placed` (their length is bounded by the hierarchy above a node).  Without a common
+    ancestor the three are null.  With ``values`` ``(node, value)``, each node once, the look-ups of
+    ``a`` and ``b`` bring the values along: ``of_a, of_b, of_lca``, null for a node without one.
+    """
+    nodes, lists = _placed(up, values)
+
+    def at(x):
+        return nodes.select(F.col("node").alias(x), F.col("above").alias(f"above_{x}"), F.col("of").alias(f"of_{x}"))
+
+    both = salted_join(rows, at("a"), ["a"], "a", F.col("b"), how="left")
+    both = salted_join(both, at("b"), ["b"], "b", F.col("a"), how="left", counted=rows)
+    found = _nearest(both, lists)
+    brought = [] if values is None else ["of_a", "of_b", F.col("best.of").alias("of_lca")]
+    return found.select(*rows.columns, "best.lca", "best.da", "best.db", *brought)
 
 
 def senses_with_gloss(senses: DataFrame, glosses: DataFrame) -> DataFrame:
@@ -153,30 +193,56 @@ def sense_pairs(pairs: DataFrame, senses: DataFrame) -> DataFrame:
 
 
 def word_similarity(pairs: DataFrame, senses: DataFrame, up: DataFrame) -> DataFrame:
-    """Path similarity 1 / (1 + distance) of lemma pairs; 0 without a shared kind or path."""
-    nodes = written(sense_pairs(pairs, senses), "sense-pairs")
-    path = 1 / (1 + F.col("da") + F.col("db"))
-    return common_ancestor(nodes, up).select(
-        "lemma_a", "lemma_b", F.coalesce(path, F.lit(0.0)).alias("similarity")
-    )
+    """Path similarity 1 / (1 + distance) of lemma pairs; 0 without a shared kind or path.
+
+    The first senses of a lemma are placed in the hierarchy before the pairs meet them, so a pair is
+    looked up once for each lemma: rows of :func:`sense_pairs` without further joins.
+    """
+    nodes, lists = _placed(up)
+    first = senses.where("sense = 1").select("lemma", "kind", "node")
+    placed = salted_join(first, nodes.select("node", "above"), ["node"], "node", F.col("lemma"), how="left")
+    kept = F.collect_list(F.struct("kind", "node", "above"))
+    own = kinds(senses).join(placed.groupBy("lemma").agg(kept.alias("first")), "lemma", "left")
+    own = written(own, "lemmas")
+
+    def at(x):
+        return own.select(F.col("lemma").alias(f"lemma_{x}"), F.col("kinds").alias(f"kinds_{x}"), F.col("first").alias(f"first_{x}"))
+
+    joined = pairs.join(at("a"), "lemma_a", "left").join(at("b"), "lemma_b", "left")
+    joined = joined.withColumn("kind", F.get(F.array_intersect("kinds_a", "kinds_b"), F.lit(0)))
+    for x in ("a", "b"):
+        of_kind = F.filter(f"first_{x}", lambda s: s["kind"] == F.col("kind"))
+        joined = joined.withColumn("s", F.explode_outer(of_kind)).withColumns(
+            {x: F.col("s.node"), f"above_{x}": F.col("s.above"), f"of_{x}": F.lit(None).cast("double")}
+        )
+    path = 1 / (1 + F.col("best.da") + F.col("best.db"))
+    return _nearest(joined, lists).select("lemma_a", "lemma_b", F.coalesce(path, F.lit(0.0)).alias("similarity"))
+
+
+def _valued(lca: DataFrame, values: DataFrame) -> DataFrame:
+    """Pairs of ``lca`` with ``of_a, of_b, of_lca``, where all three are known.
+
+    They are looked up in ``values`` ``(node, value)`` unless :func:`common_ancestor` brought them.
+    """
+    names = ("a", "b", "lca")
+    if "of_lca" not in lca.columns:
+        pairs = lca = written(lca, "lca")
+        for name, by in zip(names, ("b", "a", "a")):
+            one = values.select(F.col("node").alias(name), F.col("value").alias(f"of_{name}"))
+            lca = salted_join(lca, one, [name], name, F.col(by), counted=pairs)
+    return lca.where(" AND ".join(f"of_{name} IS NOT NULL" for name in names))
 
 
 def depth_similarities(lca: DataFrame, depths: DataFrame) -> DataFrame:
     """Wu-Palmer and Leacock-Chodorow of the pairs in ``lca``."""
     deepest = depths.agg(F.max("depth_max"))
-
-    def at(name):
-        return depths.select(F.col("node").alias(name), F.col("depth_max").alias(f"depth_{name}"))
-
-    joined = salted_join(lca, at("a"), ["a"], "a", F.col("b"))
-    joined = salted_join(joined, at("b"), ["b"], "b", F.col("a"), counted=lca)
-    joined = salted_join(joined, at("lca"), ["lca"], "lca", F.col("a"), counted=lca)
+    joined = _valued(lca, depths.select("node", F.col("depth_max").alias("value")))
     path_nodes = F.col("da") + F.col("db") + 1
     return joined.select(
         "a",
         "b",
         "lca",
-        F.try_divide(2.0 * F.col("depth_lca"), F.col("depth_a") + F.col("depth_b")).alias("wup"),
+        F.try_divide(2.0 * F.col("of_lca"), F.col("of_a") + F.col("of_b")).alias("wup"),
         (-F.log(path_nodes / (2.0 * deepest.scalar()))).alias("lch"),
     )
 
@@ -192,14 +258,8 @@ def information(counts: DataFrame, up: DataFrame) -> DataFrame:
 
 def content_similarities(lca: DataFrame, ic: DataFrame) -> DataFrame:
     """Resnik, Lin and Jiang-Conrath of the pairs in ``lca``."""
-
-    def at(name):
-        return ic.select(F.col("node").alias(name), F.col("ic").alias(f"ic_{name}"))
-
-    joined = salted_join(lca, at("a"), ["a"], "a", F.col("b"))
-    joined = salted_join(joined, at("b"), ["b"], "b", F.col("a"), counted=lca)
-    joined = salted_join(joined, at("lca"), ["lca"], "lca", F.col("a"), counted=lca)
-    both, shared = F.col("ic_a") + F.col("ic_b"), F.col("ic_lca")
+    joined = _valued(lca, ic.select("node", F.col("ic").alias("value")))
+    both, shared = F.col("of_a") + F.col("of_b"), F.col("of_lca")
     return joined.select(
         "a",
         "b",

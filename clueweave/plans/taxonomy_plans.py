@@ -192,7 +192,8 @@ def taxonomy_edge_similarity(spark, folder):
 def taxonomy_wup_lch(spark, folder):
     paths = T.closure(taxonomy(spark, folder))
     up, depths = written(T.with_self(paths), "ancestors"), written(T.depth(paths), "depths")
-    found = T.depth_similarities(T.common_ancestor(node_pairs(spark, folder), up), depths)
+    values = depths.select("node", F.col("depth_max").alias("value"))
+    found = T.depth_similarities(T.common_ancestor(node_pairs(spark, folder), up, values), depths)
     return found.select("a", "b", "lca", F.round("wup", 6).alias("wup"), F.round("lch", 6).alias("lch"))
 
 
@@ -215,6 +216,7 @@ def taxonomy_ic(spark, folder):
         return counted.select(_id(prefix, key).alias("node"), "n")
 
     counts = occurrences("orders", "C", "o_custkey").union(occurrences("lineitem", "S", "l_suppkey"))
-    lca = T.common_ancestor(node_pairs(spark, folder), up)
-    found = T.content_similarities(lca, T.information(counts, up))
+    ic = written(T.information(counts, up), "ic")
+    lca = T.common_ancestor(node_pairs(spark, folder), up, ic.select("node", F.col("ic").alias("value")))
+    found = T.content_similarities(lca, ic)
     return found.select("a", "b", *[F.round(c, 6).alias(c) for c in ("res", "lin", "jcn")])

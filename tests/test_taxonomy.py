@@ -111,3 +111,21 @@ def test_closure_keeps_every_path_length(spark):
         frontier = {(a, d, n + 1) for a, b, n in frontier for c, d in edges if b == c}
     found = T.closure(spark.createDataFrame(list(edges), "child int, parent int"))
     assert sorted(map(tuple, found.collect())) == sorted(exact)
+
+
+def test_pairs_meet_the_hierarchy_twice(spark, monkeypatch):
+    """Values come along with the nodes of a pair: the pairs are not dealt again for every look-up."""
+    paths = T.closure(edges(spark))
+    up = T.with_self(paths)
+    info = T.information(spark.createDataFrame([("kitten", 1), ("dog", 2), ("toy", 4)], "node string, n int"), up)
+    pairs = spark.createDataFrame([("kitten", "dog"), ("cat", "cat"), ("kitten", "cat"), ("cat", "toy"), ("dog", "gone")], "a string, b string")
+    both = T.common_ancestor(pairs, up, info.select("node", F.col("ic").alias("value")))
+    looked_up = []
+    real = T.salted_join
+    monkeypatch.setattr(T, "salted_join", lambda *a, **k: looked_up.append(a[2]) or real(*a, **k))
+    got = {(r.a, r.b): (r.res, r.lin, r.jcn) for r in T.content_similarities(both, info).collect()}
+    assert looked_up == []
+    plain = T.common_ancestor(pairs, up)
+    assert got == {(r.a, r.b): (r.res, r.lin, r.jcn) for r in T.content_similarities(plain, info).collect()}
+    assert set(got) == {("kitten", "dog"), ("cat", "cat"), ("kitten", "cat")}
+    assert both.select("a", "b", "lca", "da", "db").exceptAll(plain).isEmpty()
