@@ -116,3 +116,14 @@ def test_paths_are_found_once_for_each_word(spark):
     for expand in (10**9, 1):
         best = Q.batch_top_k(paths.select("src", F.col("origin").alias("dst"), "w2"), asked, "w2", 2, expand)
         assert sorted((r.word, r.score, r["rank"]) for r in best.where("qid = 7").collect()) == [("A", 20, 1), ("C", 8, 2)]
+
+
+def test_stored_blocks_are_not_dealt_again(spark):
+    """The first block of a list is found from the lists asked for; the items of all others stay where they are."""
+    rows = spark.createDataFrame([(f"k{i % 3}", i, 100 - i) for i in range(50)], "key string, item long, w long")
+    blocks = impact.index(rows, 4)
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    asked = spark.createDataFrame([(1, "k0", 2), (1, "k1", 1)], "qid long, key string, q long")
+    found, _ = impact.top_sums(blocks, rows, asked, 3)
+    assert [(r.item, r.score) for r in found.orderBy("rank").collect()] == [(0, 200), (3, 194), (6, 188)]
