@@ -48,7 +48,8 @@ def edges_weighted(spark, folder):
 
 
 def summed_pairs(spark, folder):
-    return written(G.combine_sum(V.edges_v1(V.document_text(spark, folder))), "pairs")
+    """Sums of the pairs with the largest sum of their source, stored."""
+    return written(V.totals_v1(V.document_text(spark, folder)), "pairs")
 
 
 @query("dictionary_build", P.with_(*P.V1, P.DICTIONARY) + "SELECT wid, word FROM dictionary")
@@ -80,7 +81,7 @@ def graph_combine_norm(spark, folder):
          FROM summed JOIN row_max USING (src)""",
 )
 def graph_combine_norm_all(spark, folder):
-    return G.combine_norm(V.edges_v1(V.document_text(spark, folder)), keep_weak=True)
+    return V.graph_v1(V.document_text(spark, folder), keep_weak=True)
 
 
 @query(
