@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clueweave.functions.directions import step_x, step_y
 from clueweave.functions.text import sanitize_clue
-from clueweave.operators.unnest import each_struct, named
+from clueweave.operators.unnest import each, each_struct, named
 
 BLACK = "."
 LEGAL = ("East", "South")
@@ -428,15 +428,41 @@ def fan_out(clues: DataFrame, *arrays: str) -> DataFrame:
 
 
 def crossings(placed: DataFrame, following: DataFrame, by: str = "cwid") -> DataFrame:
-    """Where a following word may cross a placed one: equal letters with both positions."""
+    """Where a following word may cross a placed one: equal letters with both positions.
 
-    def spelled(rows, word, pos):
-        distinct = rows.select(by, F.col("word").alias(word)).distinct()
-        return distinct.select(by, word, F.posexplode(F.split(word, "")).alias(pos, "letter"))
+    The words of a puzzle come together in one row and meet there, so no letter is shuffled.
+    """
+
+    def gathered(rows: DataFrame, name: str) -> DataFrame:
+        own = rows.select(by, "word").where(F.col(by).isNotNull() & F.col("word").isNotNull())
+        return own.repartition(by).groupBy(by).agg(F.collect_set("word").alias(name))
+
+    both = gathered(following, "following")
+    both = both.withColumn("placed", F.col("following")) if placed is following else both.join(gathered(placed, "placed"), by)
+
+    def spelled(word: Column) -> Column:
+        return F.transform(F.split(word, ""), lambda c, i: F.struct(c.alias("letter"), i.alias("pos")))
+
+    def meet(own: Column) -> Column:
+        def with_next(word: Column) -> Column:
+            def of(others: Column) -> Column:
+                def at(c: Column) -> Column:
+                    return F.transform(
+                        F.filter(others, lambda o: o["letter"] == c["letter"]),
+                        lambda o: F.struct(
+                            c["letter"].alias("letter"), c["pos"].alias("pos"), word.alias("next_word"), o["pos"].alias("next_pos")
+                        ),
+                    )
+
+                return F.flatten(F.transform(own, at))
+
+            return named(spelled(word), of)
+
+        return F.flatten(F.transform(F.filter("following", lambda word: word != F.col("word")), with_next))
 
-    return spelled(placed, "word", "pos").join(
-        spelled(following, "next_word", "next_pos"), [by, "letter"]
-    ).where("word <> next_word")
+    each_word = each(both, "placed", "word", by, "following")
+    found = each_struct(each_word, named(spelled(F.col("word")), meet), "letter", by, "word")
+    return found.select(by, "letter", "word", "pos", "next_word", "next_pos")
 
 
 def crossing_counts(words: DataFrame) -> DataFrame:

@@ -202,7 +202,7 @@ def clue_fanout(spark, folder):
 )
 def crossing_candidates(spark, folder):
     """Where any two words of a puzzle can cross."""
-    words = V.placed_words(spark, folder).select("cwid", "word").distinct()
+    words = V.placed_words(spark, folder).select("cwid", "word")
     return R.crossings(words, words).where("word < next_word")
 
 
